@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, jaccard_join, language_id, license_scan, packing, pii, quality_rules, token_file
+from . import bpe_reuse, jaccard_join, language_id, license_scan, nearest, packing, pii, quality_rules, token_file
 from .common import Scratch, prepare
 
 
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_docs(spark, sf_dir)))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = Scratch(spark).path("token-file")
@@ -52,5 +56,5 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.code_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_nearest, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse)}
 ORACLES: dict[str, str] = {}
