@@ -70,7 +70,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t.encode()) for t in texts]
-        have = self.known.of(set().union(*split), self._learn)
+        have = self.known.of(set().union(*split), self.learn)
         return [b"".join(map(have.__getitem__, words)) for words in split]
 
     @staticmethod
@@ -80,7 +80,7 @@ class WordEncoder:
             return raw.split()
         return _STOP.sub(b" ", raw.translate(_LOWER)).split()
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Encodes words in long rows, parted by a mark of one id of its own; words with the mark's character or a special token's go alone."""
         plain = [w for w in words if MARK not in w and b"|>" not in w]
         odd = [w for w in words if MARK in w or b"|>" in w]

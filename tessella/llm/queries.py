@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, jaccard_join, language_id, license_scan, nearest, packing, pii, quality_rules, token_file
+from . import bpe_reuse, jaccard_join, language_id, license_scan, lm_score, nearest, packing, pii, quality_rules, token_file
 from .common import Scratch, prepare
 
 
@@ -13,6 +13,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = _docs(spark, sf_dir), Scratch(spark)
+    return lm_score.score_documents(docs, lm_score.fit(docs, scratch), scratch)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_docs(spark, sf_dir)))
 
@@ -56,5 +61,5 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.code_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_nearest, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_nearest, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse)}
 ORACLES: dict[str, str] = {}
