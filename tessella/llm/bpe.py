@@ -8,6 +8,7 @@ it, so ids of white-space separated words simply follow one another.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -20,9 +21,28 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PIECES, PIECE_BYTES = 300_000, 64
 MARK = b"|"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Lower-case letters that neither normalization nor pre-tokenization changes or parts.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _STOP = re.compile(rb"(?<=[a-z])(?=[.,](?:[ \n]|$))")
 
 
+@lru_cache(maxsize=2)
+def slim(path: str):
+    """The vocabulary and merges alone, for words that the file's normalizer and pre-tokenizer leave as they are; and which ids end a word."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        m = json.load(f)["model"]
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+    end = m["end_of_word_suffix"]
+    t = Tokenizer(models.BPE(vocab=m["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=end, fuse_unk=False))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(max(m["vocab"].values()) + 1, bool)
+    for token, i in m["vocab"].items():
+        ends[i] = token.endswith(end)
+    return t, ends
+
+
 @lru_cache(maxsize=4)
 def load(path: str):
     from tokenizers import Tokenizer
@@ -66,6 +86,7 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int = 4):
         self.tok, self.kind, self.known = load(path), f"<u{width}", Pieces()
+        self.slim, self.ends = slim(path)
         (self.mark,) = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -81,26 +102,34 @@ class WordEncoder:
         return _STOP.sub(b" ", raw.translate(_LOWER)).split()
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Encodes words in long rows, parted by a mark of one id of its own; words with the mark's character or a special token's go alone."""
-        plain = [w for w in words if MARK not in w and b"|>" not in w]
-        odd = [w for w in words if MARK in w or b"|>" in w]
+        """Encodes words in long rows. Plain words go through the bare vocabulary and are parted by the ids that end a word; others through the whole tokenizer, parted by a mark of one id; words that may hold the mark or a special token go alone."""
         got: dict[bytes, bytes] = {}
+        plain, rest, odd = [], [], []
+        for w in words:
+            (plain if _PLAIN.fullmatch(w) else odd if MARK in w or b"|>" in w else rest).append(w)
         for a in range(0, len(plain), 2000):
             part = plain[a : a + 2000]
+            ids = np.array(self.slim.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            self._deal(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, got, odd)
+        for a in range(0, len(rest), 2000):
+            part = rest[a : a + 2000]
             row = b" ".join([x for w in part for x in (w, MARK)]).decode()
             ids = np.array(self.tok.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part):
-                odd += part
-                continue
-            raw, width, start = ids.tobytes(), ids.itemsize, 0
-            for w, e in zip(part, (ends * width).tolist()):
-                got[w] = raw[start:e]
-                start = e + width
+            self._deal(part, ids, np.flatnonzero(ids == self.mark), 1, got, odd)
         for w, e in zip(odd, self.tok.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             got[w] = np.array(e.ids, self.kind).tobytes()
         return got
 
+    @staticmethod
+    def _deal(part: list[bytes], ids: np.ndarray, ends: np.ndarray, skip: int, got: dict, odd: list) -> None:
+        if len(ends) != len(part):
+            odd += part
+            return
+        raw, width, start = ids.tobytes(), ids.itemsize, 0
+        for w, e in zip(part, (ends * width).tolist()):
+            got[w] = raw[start:e]
+            start = e + skip * width
+
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str, width: int = 4) -> WordEncoder:

@@ -273,12 +273,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of each component's smallest doc_id (of equal ones, one row), with all their columns. Rows with the empty set stay; rows with a null doc_id stay if they are linked with no other row's doc_id."""
-    prepare(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
+    """One row of each component, with all its columns: that of the smallest doc_id; Rows with the empty set or a null doc_id stay."""
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark)
+    gone = components(docs, size, percent, scratch).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = scratch.table(gone, "pe-gone")
     plain, at = positional(docs)
-    plan = components(docs, size, percent, scratch)
-    gone = scratch.table(plan.where("component_id <> doc_id").select("doc_id").distinct(), "pe-gone")
-    left = plain.join(gone, plain[at["doc_id"]] == gone.doc_id, "left_anti")
-    names = plain.columns
-    return left.select(*names).toDF(*docs.columns)
+    left = plain.join(gone, plain[at["doc_id"]] == gone["gone"], "left_anti")
+    return left.toDF(*docs.columns)

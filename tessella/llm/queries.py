@@ -61,5 +61,11 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.code_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_nearest, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_nearest, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_language_id, op10_bpe_reuse, pipeline)}
 ORACLES: dict[str, str] = {}
