@@ -273,7 +273,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id; Rows with the empty set or a null doc_id stay."""
+    """One row of each component, with all its columns: that of the smallest doc_id. Rows with the empty set or a null doc_id stay."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark)
     gone = components(docs, size, percent, scratch).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
