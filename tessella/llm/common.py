@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -83,8 +84,14 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         p = self.path(name)
         df.write.parquet(p)
+        self.free()
         return self.spark.read.schema(df.schema).parquet(p)
 
+    def free(self) -> None:
+        """A written table needs no shuffle files behind it any more; Spark removes them once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str | None = None) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -194,7 +194,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFram
             hasher.append(Hasher())
         mask, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little"), set()
         for b in batches:
-            keys, got = [], []
+            keys, got, marks = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(words_of(t), hasher[0], size)
                 if not len(s):
@@ -207,32 +207,47 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFram
                 seen.add(k)
                 keys.append(k)
                 got.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, pa.binary())], names=["key", "elements"])
+                marks.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) // 8 for x in got], pa.int64()), pa.array(marks, pa.binary()), pa.array(got, pa.binary())], names=["key", "n", "sketch", "elements"])
 
-    return pick(docs, "text").mapInArrow(run, "key long, elements binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return pick(docs, "text").mapInArrow(run, "key long, n long, sketch binary, elements binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements a set has in each of CELLS parts of the domain, up to 255 each."""
+    return np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+CELLS = 128
 #: A bitmap of fixed size that spares the shuffle of most sets that aren't wanted.
 BITS = 1 << 23
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs a, b whose sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
+    """The pairs a, b whose sets are similar enough.
+
+    Sizes and sketches come first: what two sketches differ by is a lower bound of what the sets differ by, so only pairs that it can't rule out fetch their whole sets.
+    """
+    small = sets.select("key", "n", "sketch")
+    sized = pairs.join(small.toDF("a", "n", "x"), "a").join(small.toDF("b", "m", "y"), "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+
+    def may(b: pa.RecordBatch):
+        n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in "xy")
+        ok = np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n + m)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     def run(b: pa.RecordBatch):
         ok = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
-                ok.append(False)
-                continue
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(100 * both >= percent * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    likely = arrow_map(sized.select("a", "b", "n", "m", "x", "y"), may, "a long, b long")
+    whole = sets.select("key", "elements")
+    return arrow_map(likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -266,6 +281,8 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = scratch.table(connected(links, scratch), f"pe-comps{k}")
+    for name in ("pe-groups", "pe-sets"):
+        scratch.drop_table(name)
     all_rows = scratch.table(members(docs, size), "pe-members")
     rooted = all_rows.join(comps, all_rows.key == comps.node, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
