@@ -7,6 +7,12 @@ Sets are put into bands of sizes; per band (and, for large sets, for the next on
 has one signature for each part: a hash of its elements there. Parts that are empty have
 none, but for sets with so few filled parts that they might agree in empty ones only.
 
+What stands in many texts would make equal signatures by chance. So the domain is cut in two
+by a bitmap of common shingles, and signatures are made of the rest: a set with more filled
+parts than it may differ in agrees with each similar set in a filled part of rare shingles,
+which few texts hold. Sets that have too few of them have signatures of all their shingles
+as well. Any bitmap gives the same links, so it is made from a bounded sample of texts.
+
 Equal sets are one class, so copies are never paired. In each group of equal signatures
 every class is paired with the smallest one (a star), which is linear in the group;
 pairs are verified on whole sets. Rounds of stars between the groups' components follow;
@@ -75,45 +81,70 @@ class PartEnum:
         k = self.distance(2 * self.high[band])
         return k + 1 + (ceil(0.03 * k) + 1 if k else 0)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         n = len(s)
         if not n:
             return np.zeros(0, np.uint64)
+        rare = s if common is None else s[~common]
         band = int(np.searchsorted(self._low, n, "right")) - 1
         bands = [band] + ([band + 1] if n * 100 >= self.low[band + 1] * self.percent else [])
         # The partner may be as large as n / g, where it holds the whole set.
         most = self.distance(n + n * 100 // self.percent)
-        mixed = s * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
         out = []
         for j in bands:
-            m = self.parts(j)
+            may = min(most, self.distance(2 * self.high[j]))
+            g, filled = self._of(rare, j, 0, -1)
+            out.append(g)
+            if filled <= may:
+                out.append(self._of(s, j, 1, may)[0])
+        return np.concatenate(out)
+
+    def _of(self, s: np.ndarray, j: int, tag: int, may: int) -> tuple[np.ndarray, int]:
+        """Signatures of the filled parts, and of the empty ones if no more than `may` are filled; and how many are filled."""
+        m = self.parts(j)
+        if len(s):
+            mixed = s * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
             part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascends with s
             start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mixed, start)
-            at = part[start]
-            if len(start) <= min(most, self.distance(2 * self.high[j])) and len(start) < m:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-                at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-            g = (sums ^ (at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 0x2545F491 + 1))) * np.uint64(0xC2B2AE3D27D4EB4F)
-            out.append(g ^ (g >> np.uint64(31)))
-        return np.concatenate(out)
+            at, sums = part[start], np.add.reduceat(mixed, start)
+        else:
+            at = sums = np.zeros(0, np.uint64)
+        filled = len(at)
+        if filled <= may and filled < m:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
+            at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        g = (sums ^ (at * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * j + tag) * 0x2545F491 + 1))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return g ^ (g >> np.uint64(31)), filled
 
 
+#: The sample of texts that the bitmap of common shingles is made from, how many of them make a shingle common, and the bitmap's bits.
+SAMPLE, COMMON, COMMON_BITS = 8_000, 3, 1 << 24
 
 
-def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and key of every row."""
-    hasher: list[Hasher] = []
+def common_shingles(docs: DataFrame, size: int = SHINGLE) -> bytes:
+    """A bitmap of fixed size of the shingles that at least COMMON sampled texts hold."""
+    rows = pick(docs, "text")
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    rows = rows.where(F.xxhash64(F.monotonically_increasing_id()).cast("double") / F.lit(2.0**64) + 0.5 < share)
 
-    def run(b: pa.RecordBatch):
-        if not hasher:
-            hasher.append(Hasher())
-        sets = [shingles(words_of(t), hasher[0], size) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "key"])
+    def run(batches):
+        hasher, seen = Hasher(), set()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                s = shingles(words_of(t), hasher, size)
+                if len(s) and (k := key_of(s)) not in seen:
+                    seen.add(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
 
-    return arrow_map(pick(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, key long")
+    held = rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return bitmap(held, "h", COMMON_BITS)
+
+
+def is_common(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    h = s & np.uint64(COMMON_BITS - 1)
+    return (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -123,8 +154,10 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     size doesn't matter for memory. A task sends a class once, however many copies it has.
     """
 
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+
     def emit(batches):
-        hasher, pe, seen = Hasher(), PartEnum(percent), set()
+        hasher, pe, seen, bits = Hasher(), PartEnum(percent), set(), np.frombuffer(common.value, np.uint8)
         for b in batches:
             sigs, keys, count = [], [], []
 
@@ -142,7 +175,7 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
                 if len(seen) > 2_000_000:
                     seen.clear()
                 seen.add(k)
-                g = pe.signatures(s)
+                g = pe.signatures(s, is_common(s, bits))
                 sigs.append(g)
                 keys.append(k)
                 count.append(len(g))
@@ -184,33 +217,30 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     return made.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(groups, "sig long, key long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """key, elements (sorted 8-byte hashes) of the wanted classes, each once."""
-    hasher: list[Hasher] = []
+def members(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n and key of every row; sketch and elements (sorted 8-byte hashes) with the first row of each wanted class in a task, and of a few others."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "key", BITS))
 
     def run(batches):
-        if not hasher:
-            hasher.append(Hasher())
-        mask, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little"), set()
+        hasher, mask, seen = Hasher(), np.frombuffer(bits.value, np.uint8), set()
         for b in batches:
-            keys, got, marks = [], [], []
+            n, keys, marks, got = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(words_of(t), hasher[0], size)
-                if not len(s):
-                    continue
+                s = shingles(words_of(t), hasher, size)
                 k = key_of(s)
-                if not mask[k & (BITS - 1)] or k in seen:
-                    continue
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                seen.add(k)
+                h = k & (BITS - 1)
+                first = len(s) and (mask[h >> 3] >> (h & 7)) & 1 and k not in seen
+                if first:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(k)
+                n.append(len(s))
                 keys.append(k)
-                got.append(s.tobytes())
-                marks.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) // 8 for x in got], pa.int64()), pa.array(marks, pa.binary()), pa.array(got, pa.binary())], names=["key", "n", "sketch", "elements"])
+                marks.append(sketch(s) if first else None)
+                got.append(s.tobytes() if first else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(got, pa.binary())], names=["doc_id", "n", "key", "sketch", "elements"])
 
-    return pick(docs, "text").mapInArrow(run, "key long, n long, sketch binary, elements binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary, elements binary")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -218,9 +248,8 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-CELLS = 128
-#: A bitmap of fixed size that spares the shuffle of most sets that aren't wanted.
-BITS = 1 << 23
+#: Parts of a sketch; bits of the bitmap that spares the writing of most sets that aren't wanted.
+CELLS, BITS = 128, 1 << 23
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -255,7 +284,8 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark)
     groups = scratch.table(signature_groups(docs, size, percent), "pe-groups")
-    sets = scratch.table(sets_of(docs, groups.select("key").distinct(), size), "pe-sets")
+    all_rows = scratch.table(members(docs, groups.select("key").distinct(), size), "pe-members")
+    sets = scratch.table(all_rows.where("elements is not null").select("key", "n", "sketch", "elements").dropDuplicates(["key"]), "pe-sets")
     links = tested = comps = None
     for k in range(ROUNDS + 1):
         last = k == ROUNDS
@@ -283,8 +313,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
         comps = scratch.table(connected(links, scratch), f"pe-comps{k}")
     for name in ("pe-groups", "pe-sets"):
         scratch.drop_table(name)
-    all_rows = scratch.table(members(docs, size), "pe-members")
-    rooted = all_rows.join(comps, all_rows.key == comps.node, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("root"))
+    rooted = all_rows.join(comps, all_rows.key == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

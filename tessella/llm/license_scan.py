@@ -83,7 +83,7 @@ def templates(phrases: dict[str, str] = BASE, notices: dict[str, str] = NOTICES)
 class Hasher:
     """64-bit hashes of words, kept within a bound, and of their k-grams."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.known, self.most = {}, most
 
     def words(self, words: list[bytes]) -> np.ndarray:
