@@ -41,7 +41,7 @@ from .common import Scratch, arrow_map, bitmap, lower_ascii, pick, positional, p
 from .components import connected
 from .license_scan import Hasher, grams_of
 
-SHINGLE, PERCENT, ROUNDS = 5, 80, 3
+SHINGLE, PERCENT, ROUNDS = 5, 80, 2
 
 
 def shingles(words: list[bytes], hasher: Hasher, size: int = SHINGLE) -> np.ndarray:
@@ -248,8 +248,8 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-#: Parts of a sketch; bits of the bitmap that spares the writing of most sets that aren't wanted.
-CELLS, BITS = 128, 1 << 23
+#: Parts of a sketch; rows of a tile's sides; bits of the bitmap that spares the writing of most sets that aren't wanted.
+CELLS, TILE, BITS = 256, 4000, 1 << 23
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -279,6 +279,62 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return arrow_map(likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def across(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs a, b of one signature and different components (sig, key, root) that sizes and sketches can't rule out.
+
+    A group is cut into blocks of about TILE rows, and each two blocks are a tile of their own,
+    so a hot group is spread over tasks and memory is bounded; no pair is made that isn't likely.
+    """
+    n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = live.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    rows = live.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    rows = rows.select("sig", "lo", "hi", "own", "key", "root").join(sets.select("key", "n", "sketch"), "key")
+
+    def compare(tile):
+        own, key, root, size = (np.array(tile[c]) for c in ("own", "key", "root", "n"))
+        marks = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        lo = tile["lo"][0]
+        left = np.flatnonzero(own == lo)
+        right = left if lo == tile["hi"][0] else np.flatnonzero(own != lo)
+        out: list[tuple[int, int]] = []
+        for i in left.tolist():
+            j = right[right > i] if right is left else right
+            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * percent)]
+            if len(j):
+                far = np.abs(marks[j] - marks[i]).sum(1, dtype=np.int64)
+                j = j[far * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
+                out += [(min(a, b), max(a, b)) for a, b in zip([int(key[i])] * len(j), key[j].tolist())]
+        return out
+
+    def run(batches):
+        names = ("sig", "lo", "hi", "own", "key", "root", "n", "sketch")
+        tile: dict[str, list] = {c: [] for c in names}
+        found: set[tuple[int, int]] = set()
+
+        def batch():
+            out = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in names]
+            for row in zip(*cols):
+                if tile["sig"] and (tile["sig"][0], tile["lo"][0], tile["hi"][0]) != row[:3]:
+                    if len(tile["sig"]) > 1:
+                        found.update(compare(tile))
+                    tile = {c: [] for c in names}
+                for c, v in zip(names, row):
+                    tile[c].append(v)
+            if len(found) > 200_000:
+                yield batch()
+        if len(tile["sig"]) > 1:
+            found.update(compare(tile))
+        yield batch()
+
+    return rows.select("sig", "lo", "hi", "own", "key", "root", "n", "sketch").repartition(n, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
     spark = prepare(docs.sparkSession)
@@ -297,9 +353,8 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
             live = scratch.table(with_root.join(open_sigs, "sig"), f"pe-live{k}")
             if live.isEmpty():
                 break
-            if last:  # all pairs of different components that share a signature
-                other = live.select("sig", F.col("key").alias("b"), F.col("root").alias("other"))
-                pairs = live.join(other, "sig").where("root < other").select(F.col("key").alias("a"), "b").distinct()
+            if last:  # what is left to compare in each group
+                pairs = across(live, sets, percent)
             else:  # one class per component and signature, another one in each round, paired with the smallest
                 order = F.xxhash64("sig", "key", F.lit(k))
                 reps = live.groupBy("sig", "root").agg(F.min_by("key", order).alias("key"))
