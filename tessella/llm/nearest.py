@@ -68,7 +68,9 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
 
 def _start(nodes: DataFrame, projections: int, block: int, degree: int, seed: int = 7) -> DataFrame:
     """node, other, dist: each node's nearest among the blocks it falls in."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = nodes.count()
+    # Partitions of several blocks each; what fits in one block is one.
+    n = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * block)))
     out = None
     for p in range(projections):
 
@@ -113,7 +115,8 @@ def _start(nodes: DataFrame, projections: int, block: int, degree: int, seed: in
 
         kind = nodes.schema["v"].dataType.simpleString()
         keyed = arrow_map(nodes, key, f"node long, v {kind}, at double")
-        part = keyed.repartitionByRange(n, "at").sortWithinPartitions("at", "node").mapInArrow(near, "node long, other long, dist float")
+        ranged = keyed.coalesce(1) if total <= block else keyed.repartitionByRange(n, "at")
+        part = ranged.sortWithinPartitions("at", "node").mapInArrow(near, "node long, other long, dist float")
         out = part if out is None else out.unionByName(part)
     return out
 
