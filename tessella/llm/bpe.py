@@ -17,8 +17,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker keeps so many pieces, and none longer than this many bytes.
-PIECES, PIECE_BYTES = 500_000, 48
+#: A worker keeps so many pieces (MANY where nothing else needs memory), and none longer than this many bytes.
+PIECES, MANY, PIECE_BYTES = 300_000, 900_000, 48
 MARK = b"|"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-case letters that neither normalization nor pre-tokenization changes or parts.
@@ -55,10 +55,10 @@ def load(path: str):
 
 
 class Pieces:
-    """What is known of pieces: two generations, each of at most PIECES / 2. What is used of the old one moves to the new one."""
+    """What is known of pieces: two generations, each of at most half as many. What is used of the old one moves to the new one."""
 
-    def __init__(self):
-        self.new, self.old = {}, {}
+    def __init__(self, most: int = PIECES):
+        self.new, self.old, self.half = {}, {}, most // 2
 
     def __len__(self) -> int:
         return len(self.new) + len(self.old)
@@ -71,22 +71,22 @@ class Pieces:
         again = {w: self.old[w] for w in missing.intersection(self.old)}
         again |= learn([w for w in missing if w not in again])
         keep = {w: v for w, v in again.items() if len(w) <= PIECE_BYTES}
-        if len(self.new) + len(keep) <= PIECES // 2:
+        if len(self.new) + len(keep) <= self.half:
             self.new.update(keep)
             if len(keep) == len(again):
                 return self.new
             return {w: again[w] if w in again else self.new[w] for w in wanted}
         out = {w: again[w] if w in again else self.new[w] for w in wanted}
         self.old = self.new
-        self.new = {w: v for w, v in list(out.items())[: PIECES // 2] if len(w) <= PIECE_BYTES}
+        self.new = {w: v for w, v in list(out.items())[: self.half] if len(w) <= PIECE_BYTES}
         return out
 
 
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them for a vocabulary that drops white space; little-endian bytes of `width` per id."""
 
-    def __init__(self, path: str, width: int = 4):
-        self.tok, self.kind, self.known = load(path), f"<u{width}", Pieces()
+    def __init__(self, path: str, width: int = 4, most: int = PIECES):
+        self.tok, self.kind, self.known = load(path), f"<u{width}", Pieces(most)
         self.slim, self.ends = slim(path)
         (self.mark,) = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
 
@@ -134,4 +134,4 @@ class WordEncoder:
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str, width: int = 4) -> WordEncoder:
-    return WordEncoder(path, width)
+    return WordEncoder(path, width, MANY)
