@@ -59,7 +59,7 @@ class ChunkCoder:
     """Encodes and decodes whole texts; keeps (count, decimal ids each with a comma, decoded bytes) per chunk."""
 
     def __init__(self, path: str):
-        self.tok, self.known = bpe.load(path), bpe.Pieces()
+        self.tok, self.known = bpe.load(path), bpe.Pieces(bpe.MANY)
         bytes_of = _byte_alphabet()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.piece = [b""] * (max(vocab.values()) + 1)
