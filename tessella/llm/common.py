@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -19,6 +20,8 @@ SPACES = "\t\n\x0b\x0c\r "
 #: Arrow batches hold so many rows and bytes at most, so a worker's memory doesn't follow the rows' lengths.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _shipped: set[str] = set()
+#: What operators keep in a worker between tasks: (module, function) -> how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -60,6 +63,39 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def kept_in_worker(fn):
+    """Registers a cached function whose result a worker keeps between tasks, so another operator's tasks can drop it."""
+    _kept[f"{fn.__module__}.{fn.__name__}"] = fn.cache_clear
+    return fn
+
+
+def lean(fn):
+    """fn for mapInArrow, for tasks that keep nothing: drops what other operators left in the worker, and gives freed memory back at both ends.
+
+    Workers outlive their stages, so otherwise each operator of a chain adds to what the ones before it hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for drop in _kept.values():
+            drop()
+        trim()
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Gives memory that is free within this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

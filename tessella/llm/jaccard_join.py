@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, bitmap, lower_ascii, pick, positional, prepare
+from .common import Scratch, bitmap, lean, lower_ascii, pick, positional, prepare
 from .components import connected
 from .license_scan import Hasher, grams_of
 
@@ -138,7 +138,7 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE) -> bytes:
                     seen.add(k)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
 
-    held = rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    held = rows.mapInArrow(lean(run), "h long").groupBy("h").count().where(F.col("count") >= COMMON)
     return bitmap(held, "h", COMMON_BITS)
 
 
@@ -212,9 +212,9 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
                 held = None if shared[-1] else (int(k[-1]),)
             last_sig, last_key = sig[-1], key[-1]
 
-    made = pick(docs, "text").mapInArrow(emit, "sig long, key long")
+    made = pick(docs, "text").mapInArrow(lean(emit), "sig long, key long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return made.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(groups, "sig long, key long")
+    return made.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(lean(groups), "sig long, key long")
 
 
 def members(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -240,7 +240,7 @@ def members(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFram
                 got.append(s.tobytes() if first else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(got, pa.binary())], names=["doc_id", "n", "key", "sketch", "elements"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary, elements binary")
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, key long, sketch binary, elements binary")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -260,23 +260,25 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     small = sets.select("key", "n", "sketch")
     sized = pairs.join(small.toDF("a", "n", "x"), "a").join(small.toDF("b", "m", "y"), "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
 
-    def may(b: pa.RecordBatch):
-        n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in "xy")
-        ok = np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n + m)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-    def run(b: pa.RecordBatch):
-        ok = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    likely = arrow_map(sized.select("a", "b", "n", "m", "x", "y"), may, "a long, b long")
+    def may(batches):
+        for b in batches:
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in "xy")
+            ok = np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n + m)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x"), b.column("y")):  # one pair's sets at a time
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    likely = sized.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(may), "a long, b long")
     whole = sets.select("key", "elements")
-    return arrow_map(likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y"), run, "a long, b long")
+    return likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def across(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -332,7 +334,7 @@ def across(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
             found.update(compare(tile))
         yield batch()
 
-    return rows.select("sig", "lo", "hi", "own", "key", "root", "n", "sketch").repartition(n, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long")
+    return rows.select("sig", "lo", "hi", "own", "key", "root", "n", "sketch").repartition(n, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lean(run), "a long, b long")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:

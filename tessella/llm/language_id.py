@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, id_remainder, id_remainder_col, pick, positional, prepare
+from .common import arrow_map, id_remainder, id_remainder_col, kept_in_worker, pick, positional, prepare
 
 #: The classifier's sample of labelled rows: so many languages (those with most documents), documents of each about, and characters of each.
 MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 200, 30_000
@@ -137,7 +137,8 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
+@lru_cache(maxsize=1)
 def _parser(digest: str, model: Model) -> Parser:
     return Parser(model)
 
