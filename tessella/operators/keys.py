@@ -64,3 +64,29 @@ def containment(fk: DataFrame, pk: DataFrame, fk_col: str, pk_col: str) -> DataF
     agg = j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fk_rows"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("matched_rows"), F.count("*").alias("fk_distinct"), F.count("hit").alias("matched_distinct"))
     share = ratio(F.col("matched_rows"), F.col("fk_rows"))
     return agg.select("fk_rows", "matched_rows", (F.col("fk_rows") - F.col("matched_rows")).alias("orphan_rows"), share.alias("containment"), ratio(F.col("matched_distinct"), F.col("fk_distinct")).alias("distinct_containment"), (share >= 0.85).alias("is_contained"))
+
+
+def text_containment(fk: DataFrame, pk: DataFrame, fk_col: str, pk_col: str) -> DataFrame:
+    """Share of the distinct fk texts (trimmed, lower case, without null words) that are pk texts; 0 if either has none."""
+
+    def texts(df: DataFrame, c: str) -> DataFrame:
+        v = F.trim(F.col(c).cast("string"))
+        return df.where(F.col(c).isNotNull() & ~v.isin("", "none", "null")).select(F.lower(v).alias("v")).distinct()
+
+    j = texts(fk, fk_col).join(texts(pk, pk_col).withColumn("hit", F.lit(1)), "v", "left")
+    return j.agg(F.count("*").alias("fk_values"), F.count("hit").alias("matched_values")).select("fk_values", "matched_values", ratio(F.col("matched_values"), F.col("fk_values")).alias("ratio"))
+
+
+def join_recommendations(relations: DataFrame, min_confidence: float = 0.7, min_containment: float = 0.9) -> DataFrame:
+    """True foreign keys that are sure and contained enough to join on, with the join's type."""
+    good = relations.where((F.col("classification") == "TRUE_FK") & (F.col("confidence") >= min_confidence) & (F.col("containment") >= min_containment))
+    return good.withColumn("join_type", F.when(F.col("containment") >= 0.9, "INNER").otherwise("LEFT"))
+
+
+def column_relations(edges: DataFrame) -> DataFrame:
+    """Per column: the columns it refers to and those that refer to it."""
+    a, b = F.concat_ws(".", "fk_table", "fk_column"), F.concat_ws(".", "pk_table", "pk_column")
+    none = F.lit(None).cast("string")
+    both = edges.select(a.alias("name"), b.alias("out"), none.alias("in")).unionByName(edges.select(b.alias("name"), none.alias("out"), a.alias("in")))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return both.groupBy("name").agg(listed("out").alias("outgoing"), listed("in").alias("incoming"))

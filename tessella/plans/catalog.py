@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import graph, keys, profile
+from tessella.functions import types as rules
+from tessella.operators import graph, keys, profile, sampling, types
 
 #: Columns of the profiled tables: name -> kind, as the SQL equivalents need them.
 SCHEMAS = {
@@ -203,6 +204,86 @@ def q_wkt_point(spark, d):
     return t.agg(F.min(part(1)).alias("min_lon"), F.max(part(1)).alias("max_lon"), F.min(part(2)).alias("min_lat"), F.max(part(2)).alias("max_lat"))
 
 
+#: Columns whose types are voted.
+TYPED = {"orders": ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "events": ["event_id", "ts", "event_type", "value"], "customer": ["c_custkey", "c_name", "c_nationkey"]}
+TYPED_TEXT = {"orders": ["o_orderstatus", "o_orderpriority"], "customer": ["c_name"], "events": ["event_type", "ts"]}
+
+
+def _types(spark, d, typed):
+    out = None
+    for t, cols in typed.items():
+        f = profile.frequencies(table(spark, d, t).select(*cols), t)
+        out = f if out is None else out.unionByName(f)
+    return types.physical_types(out)
+
+
+def q_physical_types(spark, d):
+    return _types(spark, d, TYPED).select("table_name", "column_name", "physical_type")
+
+
+def q_semantic_types(spark, d):
+    return _types(spark, d, TYPED).select("table_name", "column_name", "semantic_type")
+
+
+def q_whole_numbers(spark, d):
+    return _types(spark, d, TYPED).select("table_name", "column_name", "whole_numbers", "boolean_like")
+
+
+def q_consistent_format(spark, d):
+    return _types(spark, d, TYPED_TEXT).select("table_name", "column_name", "consistent_format")
+
+
+def q_null_like(spark, d):
+    v = F.when(F.col("c_custkey") % 4 == 0, F.lit(" NaN ")).when(F.col("c_custkey") % 4 == 1, F.lit("")).otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select(rules.is_null_like(v).alias("x"), "c_nationkey").groupBy("c_nationkey").agg(F.count_if("x").alias("n_null_like"))
+
+
+def q_token_similarity(spark, d):
+    p = table(spark, d, "nation").select(F.concat(F.lower("n_name"), F.lit("_id")).alias("a"), F.concat(F.lit("id_"), F.lower("n_name"), F.lit("_key")).alias("b"))
+    return _rounded(p.select("a", "b", names.token_similarity(F.col("a"), F.col("b")).alias("similarity")))
+
+
+def q_type_score(spark, d):
+    t = spark.createDataFrame([("integer",), ("float",), ("string",), ("date",), (None,)], "t string")
+    return t.select(F.col("t").alias("a")).join(F.broadcast(t.select(F.col("t").alias("b"))), F.coalesce("a", F.lit("")) <= F.coalesce("b", F.lit(""))).select("a", "b", rules.type_score(F.col("a"), F.col("b")).alias("score"))
+
+
+def q_confidence_levels(spark, d):
+    return table(spark, d, "lineitem").select(rules.confidence_level(1 - F.col("l_discount") * 5).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def q_cosine_next(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(n, "vec_id").select("vec_id", F.round(rules.cosine(F.col("embedding"), F.col("next")), 5).alias("cosine"))
+
+
+def q_containment_text(spark, d):
+    return _rounded(keys.text_containment(table(spark, d, "orders"), table(spark, d, "customer").where("c_custkey % 3 <> 0"), "o_custkey", "c_custkey"))
+
+
+def q_join_recommendations(spark, d):
+    r = edges(spark).withColumn("classification", F.when(F.col("confidence") > 0.85, "TRUE_FK").otherwise("WEAK")).withColumn("containment", F.col("confidence"))
+    return keys.join_recommendations(r)
+
+
+def q_column_relations(spark, d):
+    return keys.column_relations(edges(spark))
+
+
+def q_table_modules(spark, d):
+    e = edges(spark)
+    return e.select(F.col("fk_table").alias("t")).union(e.select("pk_table")).distinct().select("t", names.module(F.col("t")).alias("module"))
+
+
+def q_remote_count(spark, d):
+    return table(spark, d, "lineitem").agg(F.count("*").alias("n"))
+
+
+def q_sample_size(spark, d):
+    return sampling.exactly(table(spark, d, "orders"), 100).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _FREQ = "SELECT count(*)::DOUBLE AS f, sum(count(*)) OVER ()::DOUBLE AS s FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
@@ -243,6 +324,40 @@ ORACLES = {
     "wkt_point": "SELECT min(c_custkey)::DOUBLE AS min_lon, max(c_custkey)::DOUBLE AS max_lon, min(c_nationkey)::DOUBLE AS min_lat, max(c_nationkey)::DOUBLE AS max_lat FROM customer",
 }
 
+_WORDS, _PAIRS = str(tuple(rules.BOOLEAN_WORDS)), str(tuple(rules.BOOLEAN_PAIR_WORDS))
+_NUMBER = rules.NUMBER.removeprefix("(?i)")
+
+
+def _typed(typed: dict, what: str) -> str:
+    """One row per column from v, its values as text."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {what} FROM (SELECT {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL)" for t, cols in typed.items() for c in cols)
+
+
+_VOTES = (
+    f"CASE WHEN count(*) = 0 THEN 'unknown' WHEN avg((lower(trim(v)) IN {_WORDS})::INT) >= .8 THEN 'boolean' WHEN avg(regexp_matches(v, '{rules.INTEGER}')::INT) >= .8 THEN 'integer' "
+    f"WHEN avg(regexp_matches(v, '{_NUMBER}', 'i')::INT) >= .8 THEN 'float' WHEN avg(regexp_matches(v, '{rules.DATETIME}')::INT) >= .8 THEN 'datetime' WHEN avg(regexp_matches(v, '{rules.DATE}')::INT) >= .8 THEN 'date' ELSE 'string' END AS physical_type"
+)
+_PARTS = " ".join(f"WHEN regexp_matches(column_name, '{'|'.join(parts)}') THEN '{kind}'" for kind, parts in names.SEMANTIC_PARTS.items())
+ORACLES |= {
+    "physical_types": _typed(TYPED, _VOTES),
+    "semantic_types": f"SELECT table_name, column_name, CASE WHEN regexp_matches(column_name, '({'|'.join(names.AUDIT_ENDINGS)}|id|key|code|identifier)$') THEN 'identifier' {_PARTS} WHEN physical_type = 'boolean' THEN 'boolean_flag' ELSE 'unknown' END AS semantic_type FROM ({_typed(TYPED, _VOTES)})",
+    "whole_numbers": _typed(TYPED, f"bool_and(coalesce(try_cast(v AS DOUBLE) = floor(try_cast(v AS DOUBLE)), false)) AS whole_numbers, count(DISTINCT v) = 2 AND bool_and(lower(trim(v)) IN {_PAIRS}) AS boolean_like"),
+    "consistent_format": _typed(TYPED_TEXT, r"count(*) >= 3 AND count(DISTINCT regexp_replace(regexp_replace(trim(v), '\p{L}', 'A', 'g'), '\p{N}', '9', 'g')) = 1 AS consistent_format"),
+    "null_like": "SELECT c_nationkey, count(*) FILTER (c_custkey % 4 < 2) AS n_null_like FROM customer GROUP BY 1",
+    "token_similarity": r"""WITH p AS (SELECT lower(n_name) || '_id' AS a, 'id_' || lower(n_name) || '_key' AS b FROM nation), q AS (
+  SELECT a, b, list_distinct(list_filter(regexp_split_to_array(a, '[_\W]+'), lambda t: t <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(b, '[_\W]+'), lambda t: t <> '')) AS y FROM p)
+SELECT a, b, round(CASE WHEN contains(a, b) OR contains(b, a) THEN .8 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6)::DOUBLE AS similarity FROM q""",
+    "type_score": "WITH t(t) AS (VALUES ('integer'), ('float'), ('string'), ('date'), (NULL)) SELECT x.t AS a, y.t AS b, (CASE WHEN x.t IS NULL OR y.t IS NULL THEN .5 WHEN x.t = y.t THEN 1 WHEN x.t IN ('integer', 'float') AND y.t IN ('integer', 'float') THEN .8 WHEN 'string' IN (x.t, y.t) THEN .5 ELSE .3 END)::DOUBLE AS score FROM t x, t y WHERE coalesce(x.t, '') <= coalesce(y.t, '')",
+    "confidence_levels": "SELECT CASE WHEN c >= .95 THEN 'extremely_confident' WHEN c >= .85 THEN 'strong' WHEN c >= .75 THEN 'acceptable' WHEN c >= .6 THEN 'weak' ELSE 'rejected' END AS level, count(*) AS n FROM (SELECT 1 - l_discount::DOUBLE * 5 AS c FROM lineitem) GROUP BY 1",
+    "cosine_next": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "containment_text": "SELECT count(*) AS fk_values, count(p.v) AS matched_values, round(count(p.v) / count(*), 6) AS ratio FROM (SELECT DISTINCT lower(trim(o_custkey::VARCHAR)) AS v FROM orders WHERE o_custkey IS NOT NULL) f LEFT JOIN (SELECT DISTINCT lower(trim(c_custkey::VARCHAR)) AS v FROM customer WHERE c_custkey % 3 <> 0) p USING (v)",
+    "join_recommendations": f"SELECT fk_table, fk_column, pk_table, pk_column, confidence::DOUBLE AS confidence, 'TRUE_FK' AS classification, confidence::DOUBLE AS containment, 'INNER' AS join_type FROM {_EDGES_SQL} WHERE confidence >= .9",
+    "column_relations": f"WITH e AS (SELECT fk_table || '.' || fk_column AS a, pk_table || '.' || pk_column AS b FROM {_EDGES_SQL}), u AS (SELECT a AS n, b AS o, NULL AS i FROM e UNION ALL SELECT b, NULL, a FROM e) SELECT n AS name, coalesce(array_to_string(list_sort(list(DISTINCT o) FILTER (o IS NOT NULL)), ','), '') AS outgoing, coalesce(array_to_string(list_sort(list(DISTINCT i) FILTER (i IS NOT NULL)), ','), '') AS incoming FROM u GROUP BY n",
+    "table_modules": f"SELECT t, CASE WHEN regexp_matches(t, '[_.]') THEN regexp_extract(t, '^([^_.]*)', 1) ELSE 'core' END AS module FROM (SELECT fk_table AS t FROM {_EDGES_SQL} UNION SELECT pk_table FROM {_EDGES_SQL})",
+    "remote_count": "SELECT count(*) AS n FROM lineitem",
+    "sample_size": "SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_keys FROM orders",
+}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column statistics, key scores and quality of all profiled tables."""

@@ -8,7 +8,7 @@ import pytest
 from tessella.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def canonical(rows, columns):
