@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import kept_in_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps so many pieces (MANY where nothing else needs memory), and none longer than this many bytes.
@@ -25,8 +27,11 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Punctuation right behind such a letter; the apostrophe isn't parted (as in 's).
 _STOP = re.compile(rb"([!-&(-/:-@\[-`{-~])(?<=[a-z].)")
+#: The modules that encode.
+USERS = ("bpe_reuse", "lm_score", "packing", "token_file")
 
 
+@kept_in_worker(*USERS)
 @lru_cache(maxsize=2)
 def slim(path: str):
     """The vocabulary and merges alone, for words that the file's normalizer and pre-tokenizer leave as they are; and which ids end a word."""
@@ -44,6 +49,7 @@ def slim(path: str):
     return t, ends
 
 
+@kept_in_worker(*USERS)
 @lru_cache(maxsize=4)
 def load(path: str):
     from tokenizers import Tokenizer
@@ -132,6 +138,7 @@ class WordEncoder:
             start = e + skip * width
 
 
+@kept_in_worker(*USERS)
 @lru_cache(maxsize=4)
 def word_encoder(path: str, width: int = 4) -> WordEncoder:
     return WordEncoder(path, width, MANY)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import arrow_map, pick, prepare, tokenizer_path
+from .common import arrow_map, kept_in_worker, pick, prepare, tokenizer_path
 
 #: Bytes that the rolling hash covers, and the share of places that it marks.
 SPAN, MARKS = 6, 1 / 2
@@ -113,6 +113,7 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@kept_in_worker("bpe_reuse")
 @lru_cache(maxsize=2)
 def coder(path: str) -> ChunkCoder:
     return ChunkCoder(path)

@@ -20,8 +20,8 @@ SPACES = "\t\n\x0b\x0c\r "
 #: Arrow batches hold so many rows and bytes at most, so a worker's memory doesn't follow the rows' lengths.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _shipped: set[str] = set()
-#: What operators keep in a worker between tasks: (module, function) -> how to drop it.
-_kept: dict[str, Callable[[], None]] = {}
+#: What operators keep in a worker between tasks: function -> the modules that use it, and how to drop it.
+_kept: dict[str, tuple[tuple[str, ...], Callable[[], None]]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -60,24 +60,30 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for b in batches:
             yield from fn(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, fn.__module__), schema)
 
 
-def kept_in_worker(fn):
-    """Registers a cached function whose result a worker keeps between tasks, so another operator's tasks can drop it."""
-    _kept[f"{fn.__module__}.{fn.__name__}"] = fn.cache_clear
-    return fn
+def kept_in_worker(*users: str):
+    """Registers a cached function whose results a worker keeps between tasks of these modules; other modules' tasks drop them."""
 
+    def register(fn):
+        _kept[f"{fn.__module__}.{fn.__name__}"] = (users, fn.cache_clear)
+        return fn
 
-def lean(fn):
-    """fn for mapInArrow, for tasks that keep nothing: drops what other operators left in the worker, and gives freed memory back at both ends.
+    return register
+
+
+def lean(fn, module: str | None = None):
+    """fn for mapInArrow: drops what operators of other modules left in the worker, and gives freed memory back at both ends.
 
     Workers outlive their stages, so otherwise each operator of a chain adds to what the ones before it hold.
     """
+    module = module or fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for drop in _kept.values():
-            drop()
+        for users, drop in _kept.values():
+            if module.rpartition(".")[2] not in users:
+                drop()
         trim()
         try:
             yield from fn(batches)

@@ -102,12 +102,17 @@ class Parser:
     def _table(self, text: str) -> np.ndarray:
         """Per state and symbol: twice the next state's row start, plus 1 if a phrase ends before the symbol."""
         seq = [int(s) for s in self.symbols(text) if s]
-        go = suffix_automaton(seq, ALPHABET).astype(np.int64)
+        go = suffix_automaton(seq, ALPHABET)
+        if len(go) * ALPHABET * 2 >= 2**31:
+            go = go.astype(np.int64)
+        # In place, since every worker holds such a table per language.
         root = np.where(go[0] >= 0, go[0], 0)
         missing = go < 0
-        full = np.where(missing, root[None, :], go) * ALPHABET * 2 + missing
-        full[:, self.pad] = np.arange(len(go)) * ALPHABET * 2
-        return full.astype(np.int32 if len(go) * ALPHABET * 2 < 2**31 else np.int64).ravel()
+        np.copyto(go, root[None, :], where=missing)
+        go *= ALPHABET * 2
+        go += missing
+        go[:, self.pad] = np.arange(len(go)) * ALPHABET * 2
+        return go.ravel()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases per text and language, in one matrix."""
@@ -137,7 +142,7 @@ class Parser:
         return out
 
 
-@kept_in_worker
+@kept_in_worker("language_id")
 @lru_cache(maxsize=1)
 def _parser(digest: str, model: Model) -> Parser:
     return Parser(model)

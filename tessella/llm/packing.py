@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import pick, prepare, tokenizer_path
+from .common import lean, pick, prepare, tokenizer_path
 
 #: So many pieces are packed together.
 BLOCK_PIECES = 50_000
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.jso
             yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def sequences(pieces: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:

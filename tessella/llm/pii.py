@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, bitmap, pick, positional, prepare
+from .common import Scratch, arrow_map, bitmap, lean, pick, positional, prepare
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -162,7 +162,7 @@ def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    parts = pick(docs, "text").mapInArrow(run, "term string, n long")
+    parts = pick(docs, "text").mapInArrow(lean(run), "term string, n long")
     return parts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
 
 

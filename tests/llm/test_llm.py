@@ -275,3 +275,13 @@ def test_nearest(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<float>")
     assert rows(nearest.neighbours(few), "query_id", "rank", "vec_id") == [[0, 1, 1], [0, 2, 2]]
     assert nearest.neighbours(few.where("vec_id < 0")).count() == 0
+
+
+def test_tasks_drop_what_other_operators_keep_in_a_worker():
+    from tessella.llm import bpe, common
+
+    bpe.load(common.tokenizer_path("word_bpe_49k.json"))
+    assert list(common.lean(iter, "tessella.llm.packing")([1, 2])) == [1, 2]
+    assert bpe.load.cache_info().currsize == 1
+    assert list(common.lean(iter, "tessella.llm.language_id")([])) == []
+    assert bpe.load.cache_info().currsize == 0
