@@ -5,8 +5,10 @@ neighbours along random projections, whose order is cut into blocks of a fixed s
 round then joins every node's neighbours and reversed neighbours, compares those pairs of
 which one is new, and keeps each node's nearest. A search starts from the query's own node
 (or from given entry nodes), and expands the nearest nodes not expanded yet until a round
-brings nothing nearer. Graph and search compare vectors in half precision, scaled by the largest component
-of all, which halves what is shuffled; what a search ends with is measured exactly.
+brings nothing nearer. Graph and search
+compare the vectors themselves: the graph by products in double precision, the search by
+exact differences, so one far vector costs the others nothing and near copies stay apart.
+Vectors of floats travel as bytes.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than most (ties: the shortest), nor rows without an id; of rows
@@ -41,21 +43,21 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of numbers, from arrays or from half-precision bytes."""
+    """Rows of numbers, from arrays or from the bytes of single-precision numbers."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        flat = np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32)
+        flat = np.frombuffer(b"".join(column.to_pylist()), np.float32)
     else:
         flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def _halved(classes: DataFrame) -> DataFrame:
-    """node, v: the vectors as bytes of half-precision numbers."""
-    most = classes.select(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("m")).collect()[0].m or 1.0
+def _packed(classes: DataFrame) -> DataFrame:
+    """node, v: the vectors without a loss; arrays of floats as bytes, others as they are."""
+    if classes.schema["v"].dataType.simpleString() != "array<float>":
+        return classes.select("node", "v")
 
     def run(b: pa.RecordBatch):
-        x = _matrix(b.column("v")).astype(np.float64) * (64.0 / most)
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["node", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in _matrix(b.column("v"))], pa.binary())], names=["node", "v"])
 
     return arrow_map(classes.select("node", "v"), run, "node long, v binary")
 
@@ -75,27 +77,24 @@ def _start(nodes: DataFrame, projections: int, block: int, degree: int, seed: in
     for p in range(projections):
 
         def key(b: pa.RecordBatch, p=p):
-            x = _matrix(b.column("v")).astype(np.float32)
+            x = _matrix(b.column("v")).astype(np.float64)
+            code, order = np.zeros(len(x), np.int32), np.zeros(len(x))
             if x.shape[1]:
                 rng = np.random.default_rng([seed, p])
-                planes = rng.normal(size=(x.shape[1], 10)).astype(np.float32)
-                y = x @ planes
-                code = (y[:, :9] > 0) @ (1 << np.arange(9))
-                order = code + np.arctan(y[:, 9]) / np.pi + 0.5
-            else:
-                order = np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(order.astype(np.float64))], names=["node", "v", "at"])
+                y = x @ rng.normal(size=(x.shape[1], 10))
+                code, order = ((y[:, :9] > 0) @ (1 << np.arange(9))).astype(np.int32), y[:, 9]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(code), pa.array(order)], names=["node", "v", "code", "at"])
 
         def near(batches):
             ids, rows = [], []
 
             def out():
-                i, x = np.concatenate(ids), np.concatenate(rows).astype(np.float32)
+                i, x = np.concatenate(ids), np.concatenate(rows).astype(np.float64)
                 d = _distances(x, x)
                 np.fill_diagonal(d, np.inf)
                 k = min(degree, len(i) - 1)
                 at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(i), 0), int)
-                return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, k)), pa.array(i[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel().astype(np.float32))], names=["node", "other", "dist"])
+                return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, k)), pa.array(i[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel())], names=["node", "other", "dist"])
 
             held = 0
             for b in batches:
@@ -114,9 +113,9 @@ def _start(nodes: DataFrame, projections: int, block: int, degree: int, seed: in
                 yield out()
 
         kind = nodes.schema["v"].dataType.simpleString()
-        keyed = arrow_map(nodes, key, f"node long, v {kind}, at double")
-        ranged = keyed.coalesce(1) if total <= block else keyed.repartitionByRange(n, "at")
-        part = ranged.sortWithinPartitions("at", "node").mapInArrow(near, "node long, other long, dist float")
+        keyed = arrow_map(nodes, key, f"node long, v {kind}, code int, at double")
+        ranged = keyed.coalesce(1) if total <= block else keyed.repartitionByRange(n, "code", "at")
+        part = ranged.sortWithinPartitions("code", "at", "node").mapInArrow(near, "node long, other long, dist double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -151,10 +150,10 @@ def _local_join(sides: DataFrame) -> DataFrame:
             return [np.concatenate(z) for z in zip(*out)] if out else None
 
         def batch(z):
-            return pa.RecordBatch.from_arrays([pa.array(z[0]), pa.array(z[1]), pa.array(z[2].astype(np.float32))], names=["node", "other", "dist"])
+            return pa.RecordBatch.from_arrays([pa.array(z[0]), pa.array(z[1]), pa.array(z[2])], names=["node", "other", "dist"])
 
         for b in batches:
-            got = [b.column("centre").to_numpy(), b.column("node").to_numpy(), _matrix(b.column("v")).astype(np.float32), b.column("new").to_numpy(zero_copy_only=False), b.column("worst").to_numpy()]
+            got = [b.column("centre").to_numpy(), b.column("node").to_numpy(), _matrix(b.column("v")).astype(np.float64), b.column("new").to_numpy(zero_copy_only=False), b.column("worst").to_numpy()]
             if rest and len(got[0]):
                 got = [np.concatenate(z) for z in zip(rest, got)]
             if not len(got[0]):
@@ -169,7 +168,7 @@ def _local_join(sides: DataFrame) -> DataFrame:
             if z:
                 yield batch(z)
 
-    return sides.repartition(n, "centre").sortWithinPartitions("centre", "node").mapInArrow(run, "node long, other long, dist float")
+    return sides.repartition(n, "centre").sortWithinPartitions("centre", "node").mapInArrow(run, "node long, other long, dist double")
 
 
 def build(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, reverse: int = REVERSED, rounds: int = ROUNDS, projections: int = PROJECTIONS, block: int = BLOCK) -> DataFrame:
@@ -182,8 +181,8 @@ def build(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, reverse: int
         w = Window.partitionBy("centre").orderBy(F.desc("new"), F.xxhash64("centre", "node"))
         back = back.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse).drop("r")
         sides = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "new").unionByName(back).groupBy("centre", "node").agg(F.max("new").alias("new"))
-        worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.max("dist")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        info = nodes.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
+        worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
+        info = nodes.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         better = _local_join(sides.join(info, "node"))
         merged = graph.select("node", "other", "dist", F.lit(False).alias("new")).unionByName(better.withColumn("new", F.lit(True)))
         merged = merged.groupBy("node", "other").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
@@ -233,18 +232,16 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10
     rows = scratch.table(usable(vectors), "nn-rows")
     # One node per distinct vector, named by its smallest id; the k + 1 smallest ids of each are all that can be among the k nearest.
     classes = scratch.table(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nn-classes")
-    nodes = scratch.table(_halved(classes), "nn-nodes")
+    nodes = scratch.table(_packed(classes), "nn-nodes")
     w = Window.partitionBy("v").orderBy("vec_id")
     members = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     members = scratch.table(members.join(classes, "v").select("node", "vec_id"), "nn-members")
     graph = build(nodes, scratch)
     asked = rows.where(F.col("vec_id") % every == 0) if queries is None else rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    asked = scratch.table(asked.join(classes, "v").select(F.col("vec_id").alias("q"), F.col("v").alias("exact"), F.col("node").alias("entry")), "nn-asked")
-    coarse = asked.join(nodes, asked.entry == nodes.node).select("q", F.col("v").alias("x"), "entry")
-    found = search(coarse, nodes, graph, scratch)
-    # Twice k nodes are measured: half precision can't move a true one further than that but among near-equal ones.
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "node"))).where(F.col("r") <= 2 * k + 10).select("q", "node")
-    found = _to_query(best.join(classes, "node").join(asked.select("q", F.col("exact").alias("x")), "q"))
+    asked = asked.join(classes, "v").select(F.col("vec_id").alias("q"), F.col("node").alias("entry"))
+    asked = scratch.table(asked.join(nodes, asked.entry == nodes.node).select("q", F.col("v").alias("x"), "entry"), "nn-asked")
+    # The search's distances are exact, so all of its nodes take part in the ranking.
+    found = search(asked, nodes, graph, scratch)
     hits = found.join(members, "node").where("vec_id <> q").select(F.col("q").alias("query_id"), "vec_id", F.sqrt("dist").alias("score"))
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

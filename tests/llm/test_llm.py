@@ -277,6 +277,23 @@ def test_nearest(spark):
     assert nearest.neighbours(few.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_with_near_copies_and_a_far_vector(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[100:600] = x[100] + 1e-5 * rng.normal(size=(500, 16)).astype(np.float32)
+    x[899] = 0
+    x[899, 3] = 1e9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.neighbours(df, every=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 900, 50):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        hit += len({i for i in np.lexsort((np.arange(900), d)).tolist() if i != q and d[i] <= np.sort(d)[10]} & got[q])
+    assert len(got) == 18 and hit >= 171
+
+
 def test_tasks_drop_what_other_operators_keep_in_a_worker():
     from tessella.llm import bpe, common
 
