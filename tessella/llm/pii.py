@@ -5,13 +5,12 @@ numbers). For each term in an entity's neighbourhood, the corpus tells how stron
 term reveals the entity: their pointwise mutual information, as a share of the entity's
 own information content. Terms over the threshold are generalised, far over it removed.
 
-A neighbourhood is up to `near` words on either side in the same line. Co-occurrences
-count distinct neighbourhoods, so copies of a passage count once, and a pair needs
-`min_support` of them. Document counts of terms and entities are over the whole corpus.
+A neighbourhood is up to `near` words on either side in the same line. Pairs, terms,
+entities and the total all count documents (copies too), and a pair needs `min_support`
+of them.
 
 Cases: a null text counts as empty and has no spans; an empty table gives an empty
-result; repeated rows give one row each (they count as documents, their neighbourhoods
-once); null doc_ids pass through; other columns are ignored by detect() and kept by
+result; repeated rows give one row each (each counts as a document); null doc_ids pass through; other columns are ignored by detect() and kept by
 sanitise(). Of spans that overlap, the one that starts first (then the longer) replaces.
 """
 
@@ -91,8 +90,8 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def neighbourhood(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[int, int, str, int, int]]:
-    """(entity, neighbourhood, term, start, end) for the terms around each span."""
+def neighbourhood(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) for the terms around each span."""
     out = []
     for kind, a, b in spans:
         left = max(a - REACH, text.rfind("\n", 0, a) + 1)
@@ -102,12 +101,11 @@ def neighbourhood(text: str, spans: list[tuple[str, int, int]], near: int) -> li
         after = [m for m in _TERM.finditer(text, b, right)][:near]
         terms = [(m.group().lower(), m.start(), m.end()) for m in before + after if not any(x < m.end() and m.start() < y for _, x, y in spans)]
         e = entity(kind, text[a:b])
-        ctx = _signed(xxhash.xxh3_64_intdigest(f"{e} {' '.join(t for t, _, _ in terms)}".encode()))
-        out += [(e, ctx, t, x, y) for t, x, y in terms]
+        out += [(e, t, x, y) for t, x, y in terms]
     return out
 
 
-_NEAR = "array<struct<entity:bigint,context:bigint,term:string,start:bigint,end:bigint>>"
+_NEAR = "array<struct<entity:bigint,term:string,start:bigint,end:bigint>>"
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -115,14 +113,14 @@ def _scan(docs: DataFrame, near: int) -> DataFrame:
     """row, doc_id, spans, near (the terms around them) and the entities of each document."""
     rows = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    around = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    around = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(b: pa.RecordBatch):
         spans, terms, entities = [], [], []
         for t in b.column("text").to_pylist():
             got = find(t) if t else []
             spans.append([{"kind": k, "start": x, "end": y} for k, x, y in got])
-            terms.append([dict(zip(("entity", "context", "term", "start", "end"), x)) for x in (neighbourhood(t, got, near) if got else [])])
+            terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in (neighbourhood(t, got, near) if got else [])])
             entities.append(list({entity(k, t[x:y]) for k, x, y in got}))
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_hash"), pa.array(spans, span), pa.array(terms, around), pa.array(entities, pa.list_(pa.int64()))], names=["row", "doc_id", "text_hash", "spans", "near", "entities"])
 
@@ -168,7 +166,7 @@ def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, scanned: DataFrame, min_support: int = 3, threshold: float = 0.5) -> DataFrame:
     """entity, term and disclosure (PMI as a share of the entity's information content) of the pairs over the threshold."""
-    pairs = scanned.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context").groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both")).where(F.col("n_both") >= min_support)
+    pairs = scanned.select("row", F.explode("near").alias("x")).select("x.entity", "x.term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     by_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = max(1, scanned.count())
     counts = _document_counts(docs, pairs.select("term").distinct())

@@ -190,6 +190,16 @@ def test_disclosing_terms(spark):
     assert all("zorblatt" not in text[i] and "please" in text[i] for i in range(6)) and text[100] == other[0][1]
 
 
+def test_disclosing_terms_of_copied_passages(spark):
+    line = "zorblatt answers at q0@host.example.com on weekdays"
+    told = [(i, f"{chr(97 + i) * 5} {line}") for i in range(5)] + [(10 + i, f"{line} again") for i in range(40)]
+    copied = [(60 + i, "quimby reads r7@host.example.com only") for i in range(30)]
+    other = [(100 + i, f"answers and reads again on weekdays only {i}") for i in range(900)]
+    text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(told + copied + other, "doc_id long, text string")).collect()}
+    assert not [i for i, _ in told if "zorblatt" in text[i]] and not [i for i, _ in copied if "quimby" in text[i]]
+    assert all("answers" in text[i] and "weekdays" in text[i] for i, _ in told)
+
+
 def brute_components(data):
     sets = []
     for _, t in data:
