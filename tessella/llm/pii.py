@@ -1,13 +1,13 @@
 """Personal data: patterns, and terms that disclose what the patterns found.
 
 Patterns find the protected entities (mail and network addresses, card and phone
-numbers). For each term in an entity's neighbourhood, the corpus tells how strongly the
-term reveals the entity: their pointwise mutual information, as a share of the entity's
-own information content. Terms over the threshold are generalised, far over it removed.
+numbers). For each term of a document that holds an entity, the corpus tells how strongly
+the term reveals the entity: their pointwise mutual information, as a share of the entity's
+own information content. Terms over the threshold are generalised, far over it removed,
+wherever they stand in documents that hold the entity.
 
-A neighbourhood is up to `near` words on either side in the same line. Pairs, terms,
-entities and the total all count documents (copies too), and a pair needs `min_support`
-of them.
+Pairs, terms, entities and the total all count documents (copies too), and a pair needs
+`min_support` of them. Terms are told apart by 64-bit hashes.
 
 Cases: a null text counts as empty and has no spans; an empty table gives an empty
 result; repeated rows give one row each (each counts as a document); null doc_ids pass through; other columns are ignored by detect() and kept by
@@ -38,8 +38,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LONG = re.compile(r"[0-9][0-9\x20-]{14}")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-#: Neighbourhoods look at so many characters on either side.
-REACH = 120
 BITS = 1 << 20
 
 
@@ -90,41 +88,51 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def neighbourhood(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the terms around each span."""
-    out = []
-    for kind, a, b in spans:
-        left = max(a - REACH, text.rfind("\n", 0, a) + 1)
-        right = text.find("\n", b)
-        right = min(b + REACH, len(text) if right < 0 else right)
-        before = [m for m in _TERM.finditer(text, left, a)][-near:]
-        after = [m for m in _TERM.finditer(text, b, right)][:near]
-        terms = [(m.group().lower(), m.start(), m.end()) for m in before + after if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        e = entity(kind, text[a:b])
-        out += [(e, t, x, y) for t, x, y in terms]
-    return out
+_TERMS = "array<struct<term:bigint,start:int,end:int>>"
+_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-_NEAR = "array<struct<entity:bigint,term:string,start:bigint,end:bigint>>"
-_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+def terms_of(text: str, spans: list[tuple[str, int, int]], known: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of every term that overlaps no span; `known` keeps hashes of words."""
+    out, k = [], 0
+    edges = sorted((a, b) for _, a, b in spans)
+    reach = 0
+    for m in _TERM.finditer(text):
+        x, y = m.span()
+        while k < len(edges) and edges[k][0] < y:
+            reach = max(reach, edges[k][1])
+            k += 1
+        if x >= reach:
+            w = m.group()
+            h = known.get(w)
+            if h is None:
+                if len(known) > 200_000:
+                    known.clear()
+                h = known[w] = _hash_of([w.lower()])[0]
+            out.append((h, x, y))
+    return out
 
 
-def _scan(docs: DataFrame, near: int) -> DataFrame:
-    """row, doc_id, spans, near (the terms around them) and the entities of each document."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """row, doc_id, spans, the entities of each document and, where there are some, its terms."""
     rows = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    around = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(b: pa.RecordBatch):
-        spans, terms, entities = [], [], []
+        known: dict[str, int] = {}
+        spans, terms, sizes, entities = [], [], [0], []
         for t in b.column("text").to_pylist():
             got = find(t) if t else []
             spans.append([{"kind": k, "start": x, "end": y} for k, x, y in got])
-            terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in (neighbourhood(t, got, near) if got else [])])
+            if got:
+                terms.append(np.array(terms_of(t, got, known), np.int64).reshape(-1, 3))
+            sizes.append(sizes[-1] + (len(terms[-1]) if got else 0))
             entities.append(list({entity(k, t[x:y]) for k, x, y in got}))
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_hash"), pa.array(spans, span), pa.array(terms, around), pa.array(entities, pa.list_(pa.int64()))], names=["row", "doc_id", "text_hash", "spans", "near", "entities"])
+        flat = np.concatenate(terms) if terms else np.zeros((0, 3), np.int64)
+        held = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))], names=["term", "start", "end"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_hash"), pa.array(spans, span), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), held), pa.array(entities, pa.list_(pa.int64()))], names=["row", "doc_id", "text_hash", "spans", "terms", "entities"])
 
-    return arrow_map(rows, run, f"row long, doc_id long, text_hash long, spans {_SPANS}, near {_NEAR}, entities array<bigint>")
+    return arrow_map(rows, run, f"row long, doc_id long, text_hash long, spans {_SPANS}, terms {_TERMS}, entities array<bigint>")
 
 
 def _hash_of(terms: list[str]) -> list[int]:
@@ -134,40 +142,47 @@ def _hash_of(terms: list[str]) -> list[int]:
 
 def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """term and the number of documents that hold it, for the wanted terms: each task counts for itself what the bitmap lets pass, then the counts are added up and joined exactly."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("term").alias("h")), "h", BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "term", BITS))
 
     def run(batches):
         mask = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
-        count: dict[str, int] = {}
-        passes: dict[str, bool] = {}
+        count: dict[int, int] = {}
+        passes: dict[str, int | None] = {}
 
         def out():
-            r = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+            r = pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
             count.clear()
             return r
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                for w in set(_TERM.findall(t.lower())) if t else ():
-                    ok = passes.get(w)
-                    if ok is None:
+                for w in {w.lower() for w in set(_TERM.findall(t))} if t else ():
+                    h = passes.get(w, 0)
+                    if h == 0:
                         if len(passes) > 400_000:
                             passes.clear()
-                        ok = passes[w] = bool(mask[_hash_of([w])[0] & (BITS - 1)])
-                    if ok:
-                        count[w] = count.get(w, 0) + 1
+                        h = _hash_of([w])[0]
+                        h = passes[w] = h if mask[h & (BITS - 1)] else None
+                    if h is not None:
+                        count[h] = count.get(h, 0) + 1
                 if len(count) > 200_000:
                     yield out()
         yield out()
 
-    parts = pick(docs, "text").mapInArrow(lean(run), "term string, n long")
+    parts = pick(docs, "text").mapInArrow(lean(run), "term long, n long")
     return parts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
 
 
+def _shared(scanned: DataFrame, min_support: int) -> DataFrame:
+    """entity, n_entity: of the entities that min_support documents hold; no other can have a pair with that support."""
+    return scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, min_support: int = 3, threshold: float = 0.5) -> DataFrame:
-    """entity, term and disclosure (PMI as a share of the entity's information content) of the pairs over the threshold."""
-    pairs = scanned.select("row", F.explode("near").alias("x")).select("x.entity", "x.term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    by_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """entity, term (its hash) and disclosure (PMI as a share of the entity's information content) of the pairs over the threshold."""
+    by_entity = _shared(scanned, min_support)
+    held = scanned.select(F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms")).join(by_entity.select("entity"), "entity", "left_semi")
+    pairs = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     total = max(1, scanned.count())
     counts = _document_counts(docs, pairs.select("term").distinct())
     d = F.lit(float(total))
@@ -177,14 +192,17 @@ def disclosures(docs: DataFrame, scanned: DataFrame, min_support: int = 3, thres
     return joined.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def detect(docs: DataFrame, scratch: Scratch | None = None, near: int = 4, min_support: int = 3, threshold: float = 0.5, removal: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, scratch: Scratch | None = None, min_support: int = 3, threshold: float = 0.5, removal: float = 0.8) -> DataFrame:
     """One row per document: row, doc_id, text_hash, spans (kind, start, end), sorted by kind as listed, then start; `term` and `removed` spans come last."""
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark)
-    scanned = scratch.table(_scan(docs, near), "pii-scan")
+    scanned = scratch.table(_scan(docs), "pii-scan")
     risky = scratch.table(disclosures(docs, scanned, min_support, threshold), "pii-risky")
-    hits = scanned.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end").join(risky, ["entity", "term"])
-    extra = hits.groupBy("row", "start", "end").agg(F.max("disclosure").alias("d")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("d") >= removal, "removed").otherwise("term").alias("kind"), "start", "end"))).alias("more"))
+    # Per document, the terms that one of its entities makes risky; then every place of those.
+    held = scanned.select("row", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms")).join(risky.select("entity").distinct(), "entity", "left_semi")
+    told = held.select("row", "entity", F.explode("terms").alias("term")).join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d"))
+    places = scanned.select("row", F.explode("terms").alias("x")).select("row", "x.term", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+    extra = places.join(told, ["row", "term"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("d") >= removal, "removed").otherwise("term").alias("kind"), "start", "end"))).alias("more"))
     extra = scratch.table(extra, "pii-extra")
     return scanned.join(extra, "row", "left").select("row", "doc_id", "text_hash", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 

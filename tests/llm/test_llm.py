@@ -200,6 +200,13 @@ def test_disclosing_terms_of_copied_passages(spark):
     assert all("answers" in text[i] and "weekdays" in text[i] for i, _ in told)
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    told = [(i, f"Zorblatt wrote this\nplease ask for the file and note number {i} by mail to q0@host.example.com\nyours zorblatt") for i in range(6)]
+    other = [(100 + i, f"this wrote yours please ask for the file and note number by mail {i}") for i in range(60)]
+    text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(told + other, "doc_id long, text string")).collect()}
+    assert all("zorblatt" not in text[i].lower() and "please" in text[i] for i in range(6))
+
+
 def brute_components(data):
     sets = []
     for _, t in data:
