@@ -2,8 +2,10 @@
 
 A suffix automaton of labelled text per language gives the longest match from each
 place of a text; parsing the text into such matches, the language that needs the fewest
-phrases wins (ties: the first by name). Texts are parsed in blocks of a fixed length, so
-thousands of blocks step through the automaton's table together.
+phrases wins (ties: the first by name). Each language has its own alphabet: all characters
+of its sample. Texts are parsed in blocks of a fixed length, so thousands of blocks step
+through the automaton's table together; where the alphabet is large (Chinese), the table
+is a sorted list of transitions.
 
 Cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn
 from, every text is `und`; a null doc_id is not held out and never learned from; an empty
@@ -27,7 +29,8 @@ from .common import arrow_map, id_remainder, id_remainder_col, kept_in_worker, p
 
 #: The classifier's sample of labelled rows: so many languages (those with most documents), documents of each about, and characters of each.
 MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 200, 30_000
-ALPHABET, BLOCK, LANES = 64, 256, 8192
+#: Alphabets up to so many characters have a full table of transitions.
+DENSE, BLOCK, LANES = 126, 256, 8192
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -42,8 +45,8 @@ class Model:
         return hashlib.sha256(repr(self.samples).encode()).hexdigest()
 
 
-def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings of seq, one row per state; -1: none."""
+def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings of seq, per state."""
     link, length = [-1], [0]
     nxt: list[dict[int, int]] = [{}]
     last = 0
@@ -70,11 +73,57 @@ def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(nxt), size), -1, np.int32)
-    for s, d in enumerate(nxt):
-        for c, t in d.items():
-            out[s, c] = t
-    return out
+    return nxt
+
+
+class Dense:
+    """Per state and symbol: twice the next state's row start, plus 1 if a phrase ends before the symbol."""
+
+    def __init__(self, nxt: list[dict[int, int]], size: int):
+        pad = size + 1
+        go = np.full((len(nxt), size + 2), -1, np.int32 if len(nxt) * (size + 2) * 2 < 2**31 else np.int64)
+        for s, d in enumerate(nxt):
+            for c, t in d.items():
+                go[s, c] = t
+        # In place, since every worker holds such a table per language.
+        root = np.where(go[0] >= 0, go[0], 0)
+        missing = go < 0
+        np.copyto(go, root[None, :], where=missing)
+        go *= (size + 2) * 2
+        go += missing
+        go[:, pad] = np.arange(len(go)) * (size + 2) * 2
+        self.table = go.ravel()
+
+    def count(self, part: np.ndarray) -> np.ndarray:
+        """Phrases of each column of symbols."""
+        at, n = np.zeros(part.shape[1], self.table.dtype), np.ones(part.shape[1], np.int64)
+        for row in part:
+            v = self.table.take(at + row)
+            n += v & 1
+            at = v >> 1
+        return n
+
+
+class Sparse:
+    """The same from the sorted keys (state, symbol) of the transitions there are."""
+
+    def __init__(self, nxt: list[dict[int, int]], size: int):
+        self.width, self.pad = size + 2, size + 1
+        pairs = sorted((s * self.width + c, t) for s, d in enumerate(nxt) for c, t in d.items())
+        self.keys, self.to = np.array([k for k, _ in pairs] + [2**62], np.int64), np.array([t for _, t in pairs] + [0], np.int64)
+        self.root = np.zeros(self.width, np.int64)
+        for c, t in nxt[0].items():
+            self.root[c] = t
+
+    def count(self, part: np.ndarray) -> np.ndarray:
+        at, n = np.zeros(part.shape[1], np.int64), np.ones(part.shape[1], np.int64)
+        for row in part:
+            key = at * self.width + row
+            i = np.searchsorted(self.keys, key)
+            hit, live = self.keys.take(i) == key, row != self.pad
+            n += live & ~hit
+            at = np.where(live, np.where(hit, self.to.take(i), self.root.take(row)), at)
+        return n
 
 
 class Parser:
@@ -82,37 +131,26 @@ class Parser:
 
     def __init__(self, model: Model):
         self.langs = [k for k, _ in model.samples]
-        count: dict[str, int] = {}
-        for _, text in model.samples:
-            for c in text.lower():
-                if ord(c) < 65536:
-                    count[c] = count.get(c, 0) + 1
-        chars = sorted(count, key=lambda c: (-count[c], c))[: ALPHABET - 2]
-        #: Symbol 0: any other character; the last: padding.
-        self.symbol = np.zeros(65536, np.uint8)
-        for k, c in enumerate(chars):
-            self.symbol[ord(c)] = k + 1
-        self.pad = ALPHABET - 1
-        self.tables = [self._table(text) for _, text in model.samples]
+        held = [np.frombuffer(text.lower().encode("utf-32-le"), np.uint32) for _, text in model.samples]
+        chars = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]))
+        #: Symbol 0: a character of no sample; the last: padding.
+        self.pad = len(chars) + 1
+        self.symbol = np.zeros(int(chars[-1]) + 2 if len(chars) else 1, np.min_scalar_type(self.pad))
+        self.symbol[chars] = np.arange(1, len(chars) + 1)
+        #: Per language: its own symbols (0: not in its sample) of the symbols above, and its transitions.
+        self.own, self.tables = [], []
+        for u in held:
+            s = self.symbol[u]
+            mine = np.unique(s)
+            own = np.zeros(self.pad + 1, np.int32)
+            own[mine] = np.arange(1, len(mine) + 1)
+            own[self.pad] = len(mine) + 1
+            self.own.append(own)
+            self.tables.append((Dense if len(mine) <= DENSE else Sparse)(suffix_automaton(own[s].tolist()), len(mine)))
 
     def symbols(self, text: str) -> np.ndarray:
         u = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-        return self.symbol[np.where(u < 65536, u, 0)]
-
-    def _table(self, text: str) -> np.ndarray:
-        """Per state and symbol: twice the next state's row start, plus 1 if a phrase ends before the symbol."""
-        seq = [int(s) for s in self.symbols(text) if s]
-        go = suffix_automaton(seq, ALPHABET)
-        if len(go) * ALPHABET * 2 >= 2**31:
-            go = go.astype(np.int64)
-        # In place, since every worker holds such a table per language.
-        root = np.where(go[0] >= 0, go[0], 0)
-        missing = go < 0
-        np.copyto(go, root[None, :], where=missing)
-        go *= ALPHABET * 2
-        go += missing
-        go[:, self.pad] = np.arange(len(go)) * ALPHABET * 2
-        return go.ravel()
+        return self.symbol[np.minimum(u, len(self.symbol) - 1)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases per text and language, in one matrix."""
@@ -123,7 +161,7 @@ class Parser:
             while start < len(texts) and (not rows or sum(map(len, rows)) < LANES * BLOCK):
                 s = self.symbols(texts[start])
                 n = -(-len(s) // BLOCK)
-                padded = np.full(n * BLOCK, self.pad, np.uint8)
+                padded = np.full(n * BLOCK, self.pad, self.symbol.dtype)
                 padded[: len(s)] = s
                 rows.append(padded)
                 owner.append(np.full(n, start))
@@ -132,13 +170,7 @@ class Parser:
             for a in range(0, len(blocks), LANES):
                 part, of = np.ascontiguousarray(blocks[a : a + LANES].T), own[a : a + LANES]
                 for k, table in enumerate(self.tables):
-                    at = np.zeros(part.shape[1], table.dtype)
-                    n = np.ones(part.shape[1], np.int64)
-                    for row in part:
-                        v = table.take(at + row)
-                        n += v & 1
-                        at = v >> 1
-                    np.add.at(out[:, k], of, n)
+                    np.add.at(out[:, k], of, table.count(self.own[k].take(part)))
         return out
 
 
@@ -149,14 +181,18 @@ def _parser(digest: str, model: Model) -> Parser:
 
 
 def learn(docs: DataFrame, mod: int = 4, left_out: int = 2) -> Model:
-    """Sample text per language from the rows whose remainder isn't `left_out`: whole texts with the smallest id hashes, until SAMPLE_CHARS."""
+    """Sample text per language from the rows whose remainder isn't `left_out`: texts with the smallest id hashes, of long ones an excerpt, until SAMPLE_CHARS."""
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder_col(F.col("doc_id"), mod) != left_out))
     per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not per:
         return Model(())
     share = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["count"])))])
     h = F.xxhash64("doc_id")
-    near = rows.withColumn("h", h).where(((F.col("h").cast("double") / F.lit(2.0**64)) + 0.5 < share[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS // 3))
+    near = rows.withColumn("h", h).where((F.col("h").cast("double") / F.lit(2.0**64)) + 0.5 < share[F.col("lang")])
+    # Of a long text, an excerpt at a place that its hash gives.
+    most = SAMPLE_CHARS // 3
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int") + 1
+    near = near.select("h", "doc_id", "lang", F.substring(F.col("text"), start, F.lit(most)).alias("text"))
     cut = near.orderBy("h", "doc_id", "text").limit(2 * SAMPLE_DOCS * len(per)).collect()
     text: dict[str, list[str]] = {}
     for r in cut:
@@ -195,14 +231,25 @@ def predict(docs: DataFrame, model: Model, mod: int = 4, left_out: int = 2) -> D
     return arrow_map(pick(docs, "doc_id", "text"), run, SCHEMA)
 
 
+def limits(model: Model, max_rate: float) -> dict[str, float]:
+    """The highest rate of phrases that a text of each language may have: max_rate, or a quarter over the rate of one half of the sample parsed by the other, where a language (Chinese) has short phrases itself."""
+    out = {}
+    for k, text in model.samples:
+        half = len(text) // 2
+        rate = Parser(Model(((k, text[:half]),))).phrases([text[half:]])[0, 0] / max(1, len(text) - half)
+        out[k] = max(max_rate, min(0.95, 1.25 * float(rate)))
+    return out
+
+
 def keep_known(docs: DataFrame, model: Model, max_rate: float = 0.6) -> DataFrame:
-    """The rows in one of the learned languages, with all their columns: not `und`, and not parsed into phrases so short (1 / max_rate characters) that the text is in none of them."""
+    """The rows in one of the learned languages, with all their columns: not `und`, and not parsed into phrases so short (1 / max_rate characters, or see limits) that the text is in none of them."""
     prepare(docs.sparkSession)
+    most = limits(model, max_rate)
     plain, at = positional(docs)
     names, text = plain.columns, at["text"]
 
     def run(b: pa.RecordBatch):
         got = judge(b.column(names.index(text)).to_pylist(), model)
-        yield b.filter(pa.array([g[0] != "und" and g[2] <= max_rate for g in got], pa.bool_()))
+        yield b.filter(pa.array([g[0] != "und" and g[2] <= most[g[0]] for g in got], pa.bool_()))
 
     return arrow_map(plain, run, T.StructType(plain.schema.fields)).toDF(*docs.columns)

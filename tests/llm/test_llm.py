@@ -97,6 +97,19 @@ def test_cross_parsing_is_longest_match():
         assert p.phrases([t])[0, 0] == count
 
 
+def test_languages_of_many_scripts_and_long_documents(spark):
+    rng = np.random.default_rng(8)
+    scripts = {"ar": range(0x627, 0x64B), "el": range(0x3B1, 0x3CA), "en": range(97, 123), "hi": range(0x905, 0x93A), "ko": range(0xAC00, 0xAC00 + 28 * 20, 28), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E00 + 900)}
+    words = {k: ["".join(chr(c) for c in rng.choice(list(v), 2 if k == "zh" else 5)) for _ in range(500)] for k, v in scripts.items()}
+    make = lambda k, n: ("" if k == "zh" else " ").join(rng.choice(words[k], n))
+    data = [(100 * j + i, make(k, 3000 if k == "el" else 150), k) for j, k in enumerate(scripts) for i in range(40)]
+    df = spark.createDataFrame([*data, (9999, "".join(map(chr, range(0x10A0, 0x10C5))) * 9, "xx")], "doc_id long, text string, lang string")
+    model = language_id.learn(df.where("lang <> 'xx'"))
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert [i for i, _, k in data if got[i] != k] == []
+    assert {r.doc_id for r in language_id.keep_known(df, model).collect()} == {i for i, _, _ in data}
+
+
 def test_bpe_is_the_librarys(docs, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
