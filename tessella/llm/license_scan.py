@@ -4,7 +4,8 @@ All rolling word k-gram hashes of every text are joined with the positions of th
 k-grams in license templates. Hits vote for the diagonal (text position minus template
 position) they lie on; neighbouring diagonals are merged into spans, so a few inserted
 or lost words don't part a match; a span is verified by the share of the template's
-k-grams that it holds. Short phrases are templates that must be held whole, on one diagonal.
+k-grams that it holds, and by the words that tell the license from its neighbours (version,
+sharealike, ...), which must stand there as they are. Short phrases are templates that must be held whole, on one diagonal.
 
 Templates are a fixed, small set, so their positions are broadcast. Before the join, a
 bitmap of the template hashes lets pass only k-grams that can join.
@@ -36,6 +37,8 @@ NOTICES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "gpl-2.0": "licensed under the GNU General Public License, version 2",
     "gpl-3.0": "licensed under the GNU General Public License, version 3",
     "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "lgpl-text": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -43,11 +46,31 @@ NOTICES = {
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License",
+    "cc-by-sa-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "cc0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "proprietary": "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited",
 }
+#: What tells a notice from those of other licenses or versions: phrases of at most NOTICE_K words, each of which must be within a k-gram that the text holds.
+TELLING = {
+    "apache-1.1": ["version 1 1"],
+    "apache-2.0": ["version 2 0"],
+    "gpl-2.0": ["gnu general public license", "version 2"],
+    "gpl-3.0": ["gnu general public license", "version 3"],
+    "gpl-text": ["gnu general public license"],
+    "lgpl-text": ["gnu lesser general public"],
+    "mpl-2.0": ["mozilla public license", "v 2 0"],
+    "isc-text": ["copyright notice and this"],
+    "cc-by-3.0": ["attribution 3 0"],
+    "cc-by-4.0": ["attribution 4 0"],
+    "cc-by-sa-3.0": ["attribution sharealike 3 0"],
+    "cc-by-sa-4.0": ["attribution sharealike 4 0"],
+    "cc-by-nc-4.0": ["attribution noncommercial 4 0"],
+    "cc-by-nc": ["by nc 4 0"],
+}
 #: k of phrases that must be whole, and of notices; how far merged diagonals lie apart; the share of a notice's k-grams that a span must hold.
 PHRASE_K, NOTICE_K, DRIFT, SHARE = 2, 4, 3, 0.6
 
@@ -59,11 +82,17 @@ class Template:
     words: tuple[bytes, ...]
     k: int
     whole: bool
+    telling: tuple[tuple[bytes, ...], ...] = ()
 
     @property
     def grams(self) -> int:
         return len(self.words) - self.k + 1
 
+    def covers(self) -> list[set[int]]:
+        """Per telling phrase, the k-grams that hold it whole."""
+        held = lambda i, p: any(self.words[j : j + len(p)] == p for j in range(i, i + self.k - len(p) + 1))
+        return [{i for i in range(self.grams) if held(i, p)} for p in self.telling]
+
 
 def words_of(text: str) -> list[bytes]:
     return lower_ascii(text.encode()).translate(_NOT_WORD).split()
@@ -74,9 +103,11 @@ def templates(phrases: dict[str, str] = BASE, notices: dict[str, str] = NOTICES)
     for text, label in phrases.items():
         out.append(Template(len(out), label, tuple(words_of(text)), PHRASE_K, True))
     for label, text in notices.items():
-        out.append(Template(len(out), label, tuple(words_of(text)), NOTICE_K, False))
+        out.append(Template(len(out), label, tuple(words_of(text)), NOTICE_K, False, tuple(tuple(words_of(p)) for p in TELLING.get(label, ()))))
     if any(t.grams < 1 for t in out):
         raise ValueError("a template is shorter than its k-grams")
+    if not all(c for t in out for c in t.covers()):
+        raise ValueError("a telling phrase isn't in its template")
     return out
 
 
@@ -154,14 +185,16 @@ def scan(docs: DataFrame, known: list[Template] | None = None, drift: int = DRIF
     per = votes.groupBy("row", "doc_id", "n_words").agg(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "a", "b", "held", "label", "whole", "grams", "size"))).alias("v"))
     kind = pa.list_(pa.struct([("label", pa.string()), ("whole", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())]))
 
+    telling = {t.number: t.covers() for t in known}
+
     def run(b: pa.RecordBatch):
-        out = [merge(v, drift, share) for v in b.column("v").to_pylist()]
+        out = [merge(v, drift, share, telling) for v in b.column("v").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n_words"), pa.array([[dict(zip(("label", "whole", "first", "last", "share"), s)) for s in x] for x in out], kind)], names=["row", "doc_id", "n_words", "found"])
 
     return arrow_map(per, run, "row long, doc_id long, n_words long, found array<struct<label:string,whole:boolean,first:bigint,last:bigint,share:double>>")
 
 
-def merge(votes: list[dict], drift: int, share: float) -> list[tuple[str, bool, int, int, float]]:
+def merge(votes: list[dict], drift: int, share: float, telling: dict[int, list[set[int]]]) -> list[tuple[str, bool, int, int, float]]:
     """Verified spans (label, whole, first word, last word, share of the template) from the diagonals of one text."""
     out = []
     by: dict[int, list[dict]] = {}
@@ -183,7 +216,7 @@ def merge(votes: list[dict], drift: int, share: float) -> list[tuple[str, bool,
                 spans.append(span)
         for s in spans:
             part = len(s["held"]) / v0["grams"]
-            if part >= share:
+            if part >= share and all(c & s["held"] for c in telling[v0["template"]]):
                 out.append((v0["label"], False, s["a"], s["b"] + v0["size"] - 1, part))
     return sorted(out, key=lambda s: (s[2], s[3], s[0]))
 

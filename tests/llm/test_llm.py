@@ -265,6 +265,16 @@ def test_license_scan(docs, empty):
     assert "mit-text" in {s[0] for s in [(x.label,) for x in license_scan.scan(docs.limit(1).selectExpr("1L as doc_id", f"'{text}' as text")).collect()[0].found]}
 
 
+def test_license_versions_are_told_apart(spark):
+    work = "This work is licensed under a Creative Commons Attribution"
+    want = {
+        "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0", "licensed under the GNU General Public License, version 3": "gpl,gpl-3.0", "Licensed under the Apache License, Version 1.1": "apache,apache-1.1", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        f"{work} 3.0 Unported License": "cc-by-3.0", f"{work} 4.0 International License": "cc-by-4.0", f"{work}-ShareAlike 4.0 International License": "cc-by-sa-4.0", f"{work}-NonCommercial-ShareAlike 4.0 International License": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in license_scan.summary(license_scan.scan(df)).orderBy("doc_id").collect()] == list(want.values())
+
+
 def test_lm_base_score(spark, docs, empty):
     scratch = Scratch(spark)
     got = lm_score.score_documents(docs, lm_score.fit(docs, scratch, head=5), scratch).collect()
