@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 import zlib
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r "
 #: Arrow batches hold so many rows and bytes at most, so a worker's memory doesn't follow the rows' lengths.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Seconds between two requests to free shuffle files.
+FREE_EVERY = 4.0
 _shipped: set[str] = set()
 #: What operators keep in a worker between tasks: function -> the modules that use it, and how to drop it.
 _kept: dict[str, tuple[tuple[str, ...], Callable[[], None]]] = {}
@@ -103,9 +106,11 @@ def trim() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that all machines share: spark.checkpoint.dir, or, where that is unset on one machine (tests), a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -115,6 +120,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables in the shared folder, which cut the lineage and give the planner real sizes. drop() removes them."""
 
+    freed = 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.made = spark, shared_dir(spark), []
 
@@ -130,7 +137,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(p)
 
     def free(self) -> None:
-        """A written table needs no shuffle files behind it any more; Spark removes them once the driver has collected its garbage."""
+        """A written table needs no shuffle files behind it any more; Spark removes them once the driver has collected its garbage, which is asked for every few seconds at most."""
+        if time.monotonic() - Scratch.freed < FREE_EVERY:
+            return
+        Scratch.freed = time.monotonic()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -179,3 +189,14 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:
     out = np.zeros(bits // 32, np.uint32)
     out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64).astype(np.uint32)
     return out.tobytes()
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows, with the columns of `table` (one row per key; `count`: how many of `rows` have the key) joined to them.
+
+    Keys that hold at least 1 / share of the rows are at most `share` many, so they are broadcast and no task gathers their rows; the others are joined as usual.
+    """
+    total = table.agg(F.sum(count).alias("n")).collect()[0].n or 0
+    hot = table.where(F.col(count) * share >= total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) * share < total).drop(count), key)
+    return rows.join(F.broadcast(hot.drop(count)), key).unionByName(cold)

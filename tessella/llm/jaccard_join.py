@@ -1,23 +1,29 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A text's set holds its distinct word shingles, as 64-bit hashes. Two sets with Jaccard
-similarity of at least g differ in at most (1 - g) / (1 + g) * (|r| + |s|) elements, so of
-more parts of the hash domain than that at least one holds the same elements of both.
-Sets are put into bands of sizes; per band (and, for large sets, for the next one) a set
-has one signature for each part: a hash of its elements there. Parts that are empty have
-none, but for sets with so few filled parts that they might agree in empty ones only.
+A text's set holds its distinct word shingles, as 64-bit hashes. Two sets r and s with Jaccard
+similarity of at least g differ in at most (1 - g) / (1 + g) * (|r| + |s|) = k elements. Sets
+are put into bands of sizes; a set has signatures for its own band and for the one before, if
+a similar smaller set may lie there. Per band the hash domain is cut into more than k / 2
+groups of three parts. At least one group holds at most one of the differing elements, so
+two of its three parts hold the same elements of both sets: the signatures of a set are
+hashes of its elements in each two of the three parts of each group.
 
 What stands in many texts would make equal signatures by chance. So the domain is cut in two
-by a bitmap of common shingles, and signatures are made of the rest: a set with more filled
-parts than it may differ in agrees with each similar set in a filled part of rare shingles,
-which few texts hold. Sets that have too few of them have signatures of all their shingles
-as well. Any bitmap gives the same links, so it is made from a bounded sample of texts.
+by a bitmap of common shingles, and signatures are made of the rest. A group is rich if each
+two of its parts hold a rare shingle; a set with more than k / 2 rich groups agrees with each
+similar set in two parts that aren't empty. Sets that have too few rich groups have
+signatures of all their shingles as well, of empty parts too if those are too few again. Any
+bitmap gives the same links, so it is made from a bounded sample of texts.
 
 Equal sets are one class, so copies are never paired. In each group of equal signatures
 every class is paired with the smallest one (a star), which is linear in the group;
-pairs are verified on whole sets. Rounds of stars between the groups' components follow;
-classes of one group that then still lie in different components are paired with each
-other, so every pair that shares a signature was verified or is connected anyway.
+pairs are verified on whole sets. Rounds of stars between the groups' components follow.
+Classes of one group that then still lie in different components are compared by sizes and
+sketches in tiles, which can't rule out a link wrongly; a tile gives a spanning forest of what
+it can't rule out. The classes of each tree of all forests are compared on whole sets in
+tiles again, and a tile gives those links alone that join two components. So every pair that
+shares a signature was verified, ruled out or is connected anyway, and no step gives more
+rows than it has read.
 
 Cases: a null or wordless text has the empty set and is linked with nothing; fewer words
 than a shingle: one shingle of them all; an empty table gives an empty result; rows with a
@@ -37,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, lean, lower_ascii, pick, positional, prepare
+from .common import Scratch, bitmap, join_hot, lean, lower_ascii, pick, positional, prepare
 from .components import connected
 from .license_scan import Hasher, grams_of
 
@@ -61,7 +67,7 @@ def key_of(s: np.ndarray) -> int:
 
 
 class PartEnum:
-    """Signatures of sets for a similarity of percent / 100 or more."""
+    """Signatures of sets for a similarity of percent / 100 or more: groups of three parts, of which each two are a signature."""
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
@@ -77,47 +83,57 @@ class PartEnum:
         """The most elements in which two similar sets of `total` elements together differ."""
         return (100 - self.percent) * total // (100 + self.percent)
 
-    def parts(self, band: int) -> int:
-        k = self.distance(2 * self.high[band])
-        return k + 1 + (ceil(0.03 * k) + 1 if k else 0)
+    def differ(self, n: int) -> int:
+        """The most elements in which a set of n and a similar one that is no smaller differ."""
+        return self.distance(n + n * 100 // self.percent)
+
+    def groups(self, band: int) -> int:
+        """More than half of what two sets may differ by, of which the smaller one is in the band; some more, since a few have empty parts."""
+        k = self.differ(self.high[band])
+        return k // 2 + 1 + (ceil(0.04 * k) if k > 8 else 0)
+
+    def bands(self, n: int) -> list[int]:
+        """The set's own band, and the one before if a similar smaller set may lie there. A band of equal sets only has no signatures."""
+        band = int(np.searchsorted(self._low, n, "right")) - 1
+        both = [band] + ([band - 1] if band and n * self.percent <= self.high[band - 1] * 100 else [])
+        return [j for j in both if self.differ(self.high[j])]
 
     def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         n = len(s)
-        if not n:
-            return np.zeros(0, np.uint64)
-        rare = s if common is None else s[~common]
-        band = int(np.searchsorted(self._low, n, "right")) - 1
-        bands = [band] + ([band + 1] if n * 100 >= self.low[band + 1] * self.percent else [])
-        # The partner may be as large as n / g, where it holds the whole set.
-        most = self.distance(n + n * 100 // self.percent)
         out = []
-        for j in bands:
-            may = min(most, self.distance(2 * self.high[j]))
-            g, filled = self._of(rare, j, 0, -1)
+        rare = s if common is None else s[~common]
+        for j in self.bands(n) if n else ():
+            enough = min(self.differ(n), self.differ(self.high[j])) // 2 + 1
+            g, rich = self._of(rare, j, 0, -1)
             out.append(g)
-            if filled <= may:
-                out.append(self._of(s, j, 1, may)[0])
-        return np.concatenate(out)
-
-    def _of(self, s: np.ndarray, j: int, tag: int, may: int) -> tuple[np.ndarray, int]:
-        """Signatures of the filled parts, and of the empty ones if no more than `may` are filled; and how many are filled."""
-        m = self.parts(j)
+            if rich < enough:
+                out.append(self._of(s, j, 1, enough)[0])
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _of(self, s: np.ndarray, j: int, tag: int, enough: int) -> tuple[np.ndarray, int]:
+        """Signatures of each two parts of a group that aren't both empty, and of the empty ones if fewer than `enough` groups are rich; and how many are rich."""
+        m = self.groups(j)
+        sums, held = np.zeros(3 * m, np.uint64), np.zeros(3 * m, bool)
         if len(s):
             mixed = s * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
             mixed *= np.uint64(0xD6E8FEB86659FD93)
-            part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascends with s
+            part = ((s >> np.uint64(32)) * np.uint64(3 * m)) >> np.uint64(32)  # ascends with s
             start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            at, sums = part[start], np.add.reduceat(mixed, start)
-        else:
-            at = sums = np.zeros(0, np.uint64)
-        filled = len(at)
-        if filled <= may and filled < m:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-            at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        g = (sums ^ (at * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * j + tag) * 0x2545F491 + 1))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return g ^ (g >> np.uint64(31)), filled
+            at = part[start].astype(np.int64)
+            sums[at], held[at] = np.add.reduceat(mixed, start), True
+        sums, held = sums.reshape(m, 3), held.reshape(m, 3)
+        rich = int((held.sum(1) > 1).sum())
+        two = (sums[:, _ONE] + sums[:, _OTHER]).ravel()
+        number = np.arange(3 * m, dtype=np.uint64)
+        if rich >= enough:
+            live = (held[:, _ONE] | held[:, _OTHER]).ravel()
+            two, number = two[live], number[live]
+        g = (two ^ (number * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * j + tag) * 0x2545F491 + 1))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return g ^ (g >> np.uint64(31)), rich
+
 
+_ONE, _OTHER = np.array([0, 0, 1]), np.array([1, 2, 2])
 
 #: The sample of texts that the bitmap of common shingles is made from, how many of them make a shingle common, and the bitmap's bits.
 SAMPLE, COMMON, COMMON_BITS = 8_000, 3, 1 << 24
@@ -248,8 +264,8 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-#: Parts of a sketch; rows of a tile's sides; bits of the bitmap that spares the writing of most sets that aren't wanted.
-CELLS, TILE, BITS = 256, 4000, 1 << 23
+#: Parts of a sketch; rows of a tile's sides, and elements where whole sets are compared; bits of the bitmap that spares the writing of most sets that aren't wanted.
+CELLS, TILE, TILE_ELEMENTS, BITS = 256, 1500, 2_000_000, 1 << 23
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -281,60 +297,97 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
-def across(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs a, b of one signature and different components (sig, key, root) that sizes and sketches can't rule out.
+def _tiles(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """The rows once per tile of their group (columns lo, hi, own come first): the group's rows are dealt over so many blocks, and each two blocks are a tile."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return out.drop("blocks", "other").repartition(n, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def _each_tile(batches, group: str, names: tuple[str, ...], compare):
+    """Gathers each tile's rows and gives the pairs that compare() makes of them, as batches."""
+    tile: dict[str, list] = {c: [] for c in names}
+    found: list[tuple[int, int]] = []
+
+    def batch():
+        out = sorted(set(found))
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    A group is cut into blocks of about TILE rows, and each two blocks are a tile of their own,
-    so a hot group is spread over tasks and memory is bounded; no pair is made that isn't likely.
+    for b in batches:
+        for row in zip(*[b.column(c).to_pylist() for c in names]):
+            if tile["lo"] and (tile[group][0], tile["lo"][0], tile["hi"][0]) != row[:3]:
+                if len(tile["lo"]) > 1:
+                    found += compare(tile)
+                tile = {c: [] for c in names}
+            for c, v in zip(names, row):
+                tile[c].append(v)
+        if len(found) > 200_000:
+            yield batch()
+    if len(tile["lo"]) > 1:
+        found += compare(tile)
+    yield batch()
+
+
+def _compare(tile: dict[str, list], percent: int, linked=None, parted: bool = True) -> list[tuple[int, int]]:
+    """Pairs of keys that join two trees of a forest over the tile: pairs of different components that sizes and sketches can't rule out and, if given, linked(i, j) confirms.
+
+    Trees are those of the pairs given (parted: at first each key is one by itself), or the components and the pairs given.
     """
-    n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, key, size = (np.array(tile[c]) for c in ("own", "key", "n"))
+    root = np.unique(np.array(tile["root"]), return_inverse=True)[1]
+    marks = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    tree = np.arange(len(key)) if parted else root.copy()
+    lo = tile["lo"][0]
+    left = np.flatnonzero(own == lo)
+    right = left if lo == tile["hi"][0] else np.flatnonzero(own != lo)
+    out = []
+    for i in left.tolist():
+        j = right[right > i] if right is left else right
+        j = j[(root[j] != root[i]) & (tree[j] != tree[i]) & (np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * percent)]
+        if len(j):
+            far = np.abs(marks[j] - marks[i]).sum(1, dtype=np.int64)
+            j = j[far * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
+        for x in j.tolist():
+            if tree[x] != tree[i] and (linked is None or linked(i, x)):
+                out.append((int(min(key[i], key[x])), int(max(key[i], key[x]))))
+                tree[tree == tree[x]] = tree[i]
+    return out
+
+
+def likely(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: per tile of a signature's group a spanning forest of the classes of different components (sig, key, root) that sizes and sketches can't rule out."""
     blocks = live.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    rows = live.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    rows = rows.select("sig", "lo", "hi", "own", "key", "root").join(sets.select("key", "n", "sketch"), "key")
-
-    def compare(tile):
-        own, key, root, size = (np.array(tile[c]) for c in ("own", "key", "root", "n"))
-        marks = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        lo = tile["lo"][0]
-        left = np.flatnonzero(own == lo)
-        right = left if lo == tile["hi"][0] else np.flatnonzero(own != lo)
-        out: list[tuple[int, int]] = []
-        for i in left.tolist():
-            j = right[right > i] if right is left else right
-            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * percent)]
-            if len(j):
-                far = np.abs(marks[j] - marks[i]).sum(1, dtype=np.int64)
-                j = j[far * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
-                out += [(min(a, b), max(a, b)) for a, b in zip([int(key[i])] * len(j), key[j].tolist())]
-        return out
+    names = ("sig", "lo", "hi", "own", "key", "root", "n", "sketch")
+    rows = _tiles(live.join(sets.select("key", "n", "sketch"), "key"), "sig", blocks).select(*names)
 
     def run(batches):
-        names = ("sig", "lo", "hi", "own", "key", "root", "n", "sketch")
-        tile: dict[str, list] = {c: [] for c in names}
-        found: set[tuple[int, int]] = set()
+        yield from _each_tile(batches, "sig", names, lambda t: _compare(t, percent))
 
-        def batch():
-            out = sorted(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+    return rows.mapInArrow(lean(run), "a long, b long")
 
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in names]
-            for row in zip(*cols):
-                if tile["sig"] and (tile["sig"][0], tile["lo"][0], tile["hi"][0]) != row[:3]:
-                    if len(tile["sig"]) > 1:
-                        found.update(compare(tile))
-                    tile = {c: [] for c in names}
-                for c, v in zip(names, row):
-                    tile[c].append(v)
-            if len(found) > 200_000:
-                yield batch()
-        if len(tile["sig"]) > 1:
-            found.update(compare(tile))
-        yield batch()
-
-    return rows.select("sig", "lo", "hi", "own", "key", "root", "n", "sketch").repartition(n, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lean(run), "a long, b long")
+
+def settle(trees: DataFrame, comps: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: links that join two components, among the classes of each tree (key, tree), compared on whole sets."""
+    held = trees.join(comps.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(sets, "key")
+    blocks = trees.join(sets.select("key", "n"), "key").groupBy("tree").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS)).cast("int").alias("blocks"))
+    names = ("tree", "lo", "hi", "own", "key", "root", "n", "sketch", "elements")
+
+    def run(batches):
+        def compare(tile):
+            whole = [np.frombuffer(x, np.uint64) for x in tile["elements"]]
+
+            def linked(i, j):
+                p, q = (whole[i], whole[j]) if len(whole[i]) <= len(whole[j]) else (whole[j], whole[i])
+                both = int((q.take(np.searchsorted(q, p), mode="clip") == p).sum())
+                return 100 * both >= percent * (len(p) + len(q) - both)
+
+            return _compare(tile, percent, linked, False)
+
+        yield from _each_tile(batches, "tree", names, compare)
+
+    return _tiles(held, "tree", blocks).select(*names).mapInArrow(lean(run), "a long, b long")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -344,35 +397,44 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scr
     groups = scratch.table(signature_groups(docs, size, percent), "pe-groups")
     all_rows = scratch.table(members(docs, groups.select("key").distinct(), size), "pe-members")
     sets = scratch.table(all_rows.where("elements is not null").select("key", "n", "sketch", "elements").dropDuplicates(["key"]), "pe-sets")
-    links = tested = comps = None
+    links = comps = None
     for k in range(ROUNDS + 1):
-        last = k == ROUNDS
         if comps is None:
             pairs = groups.groupBy("sig").agg(F.min("key").alias("a")).join(groups, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
+            tested = None
         else:
             with_root = groups.join(comps, groups.key == comps.node, "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
             open_sigs = with_root.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
             live = scratch.table(with_root.join(open_sigs, "sig"), f"pe-live{k}")
             if live.isEmpty():
                 break
-            if last:  # what is left to compare in each group
-                pairs = across(live, sets, percent)
-            else:  # one class per component and signature, another one in each round, paired with the smallest
-                order = F.xxhash64("sig", "key", F.lit(k))
-                reps = live.groupBy("sig", "root").agg(F.min_by("key", order).alias("key"))
-                first = reps.groupBy("sig").agg(F.min_by("key", F.xxhash64("sig", "root", F.lit(k))).alias("a"))
-                pairs = reps.join(first, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"pe-pairs{k}")
+            if k == ROUNDS:  # what is left to compare in each group
+                forest = connected(scratch.table(likely(live, sets, percent), "pe-likely"), scratch)
+                trees = scratch.table(forest.select(F.col("node").alias("key"), F.col("root").alias("tree")), "pe-trees")
+                found = scratch.table(settle(trees, comps, sets, percent), f"pe-links{k}")
+                comps = scratch.table(connected(links.unionByName(found), scratch), f"pe-comps{k}")
+                break
+            # One class per component and signature, another one in each round, paired with the smallest.
+            order = F.xxhash64("sig", "key", F.lit(k))
+            reps = live.groupBy("sig", "root").agg(F.min_by("key", order).alias("key"))
+            first = reps.groupBy("sig").agg(F.min_by("key", F.xxhash64("sig", "root", F.lit(k))).alias("a"))
+            pairs = reps.join(first, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pe-pairs{k}")
         found = scratch.table(verify(pairs, sets, percent), f"pe-links{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = scratch.table(connected(links, scratch), f"pe-comps{k}")
     for name in ("pe-groups", "pe-sets"):
         scratch.drop_table(name)
-    rooted = all_rows.join(comps, all_rows.key == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # Names of components, then of classes, then of documents; hot ones are broadcast instead of gathered.
+    rows = all_rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = scratch.table(classes.join(comps, classes.key == comps.node, "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root")), "pe-classes")
+    roots = scratch.table(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "pe-roots")
+    named = scratch.table(join_hot(classes.select("key", "copies", "root"), roots, "root", "members").select("key", "copies", "component_id"), "pe-named")
+    out = join_hot(rows, named, "key", "copies").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(all_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

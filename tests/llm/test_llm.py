@@ -252,6 +252,48 @@ def test_jaccard_join(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {r[2] for r in brute_components(data)}
 
 
+def test_similar_sets_share_a_signature_whatever_is_common():
+    rng = np.random.default_rng(12)
+    pe = jaccard_join.PartEnum()
+    assert any((pe._of(np.sort(rng.integers(0, 2**64, 50, np.uint64)), j, 0, -1)[0].size % 3 == 0) for j in pe.bands(50))
+    for n in [2, 3, 4, 5, 6, 7, 9, 12, 20, 33, 64, 100, 260, 900] * 6:
+        r = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        gone = int(rng.integers(0, max(1, n // 9) + 1))
+        new = max(0, (len(r) - gone) * 100 // 80 - len(r)) if rng.random() < 0.7 else 0
+        s = np.unique(np.concatenate([r[rng.permutation(len(r))[gone:]], rng.integers(0, 2**64, new, np.uint64)]))
+        both = len(np.intersect1d(r, s))
+        if 100 * both < 80 * (len(r) + len(s) - both) or np.array_equal(r, s):
+            continue
+        common = set(rng.choice(np.union1d(r, s), int(rng.random() * len(np.union1d(r, s))), replace=False).tolist())
+        mark = lambda x: np.array([v in common for v in x.tolist()], bool)
+        assert np.intersect1d(pe.signatures(r, mark(r)), pe.signatures(s, mark(s))).size
+
+
+def test_near_copies_make_no_more_rows_than_there_are(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 60)
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(40)]
+    data = []
+    for i in range(260):
+        w = list(base)
+        for at in rng.choice(40, 1 + i % 2, replace=False):
+            w[at] = f"e{rng.integers(20)}"
+        data.append((i, " ".join(w)))
+    made = {}
+    real = Scratch.table
+
+    def table(self, df, name):
+        out = real(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(jaccard_join.components(df), "doc_id", "n_shingles", "component_id") == brute_components(data)
+    groups = made["pe-groups"]
+    assert all(made[k] <= groups for k in made if k.startswith(("pe-pairs", "pe-links"))) and made.get("pe-likely", 0) <= 2 * groups
+
+
 def test_license_scan(docs, empty):
     got = {(r.doc_id): r for r in license_scan.summary(license_scan.scan(docs)).collect()}
     for d in DOCS:
