@@ -121,6 +121,35 @@ def test_bpe_is_the_librarys(docs, empty):
     assert bpe_reuse.code_documents(empty).count() == 0
 
 
+def test_bpe_joins_are_repaired():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = bpe.load(path)
+    rng = np.random.default_rng(4)
+    texts = [t for t in TEXTS if t] + [" ".join(rng.choice(["don't", "naïve", "中文字", "a\n\n b", "<|endoftext|>", "x1y2", "...", "the", "\u2003wide", "  two"], 900))] * 2
+    torn = 0
+    for marks in (1 / 3, 1 / 40, 1 / 256):
+        c = bpe_reuse.ChunkCoder(path, 4, marks)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in c.encode_all([t.encode() for t in texts])] == want
+        for t, ids in zip(texts, want):
+            raw, at = t.encode(), bpe_reuse.cut_places(t.encode(), 4, marks).tolist()
+            glued = [i for a, b in zip([0, *at], [*at, len(raw)]) for i in tok.encode(raw[a:b].decode(), add_special_tokens=False).ids]
+            torn += glued != ids
+            assert c.encode(t) == ids and c.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+        assert c.repaired and c.reused
+    assert torn > 10  # without the repair, ids would be wrong
+
+
+def test_bpe_windows_widen_until_the_sides_agree(monkeypatch):
+    c = bpe_reuse.ChunkCoder(public_tokenizers.path("byte_bpe_50k.json"), 4, 1 / 40)
+    text = "some ordinary words of a text that is cut within its words, and so on " * 30
+    want = c.tok.encode(text, add_special_tokens=False).ids
+    # Places that aren't safe (within words) make first windows disagree.
+    monkeypatch.setattr(bpe_reuse, "safe_places", lambda raw: np.arange(0, len(raw) + 1, 3) if len(raw) % 3 == 0 else np.append(np.arange(0, len(raw), 3), len(raw)))
+    got = c.encode(text)
+    assert c.widened and c.decode(got) == c.decode(want)
+
+
 def word_ids(t, end):
     tok = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     return tok.encode(t or "", add_special_tokens=False).ids + [end]
