@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import glob
 import os
 import tempfile
 import time
@@ -11,6 +12,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,7 @@ def lean(fn, module: str | None = None):
         for users, drop in _kept.values():
             if module.rpartition(".")[2] not in users:
                 drop()
+        one_blas_thread()
         trim()
         try:
             yield from fn(batches)
@@ -96,6 +99,19 @@ def lean(fn, module: str | None = None):
     return run
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Numpy's products on small matrices gain nothing from more threads, which spin while they wait; one core per task is what Spark counts on."""
+    import numpy as np
+
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def trim() -> None:
     """Gives memory that is free within this process back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -367,6 +367,46 @@ def test_lm_is_a_distribution():
     assert np.isclose(lm_score.score(m, [long, long[:3]]).sum(), lm_score.score(m, [long])[0] + lm_score.score(m, [long[:3]])[0])
 
 
+def test_lm_score_is_that_of_a_loop_over_single_ids():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, lm_score.VOCABULARY).astype(float)
+    ids = [rng.integers(0, 300, n).astype(np.uint16) for n in (0, 1, 11, 12, 13, 40)]
+    m = lm_score.train(ids, counts, rng.random(lm_score.VOCABULARY) < 0.5, steps=30)
+    p, t = m.p, m.tables()
+    want = []
+    for x in ids:
+        seen, total = [m.start], 0.0
+        for i in [*x.tolist(), lm_score.END_ID]:
+            near = np.array(seen[-lm_score.SPAN :])
+            s = t["K"][near] @ t["Q"][seen[-1]] + p["r"][: len(near)][::-1]
+            a = np.exp(s) / np.exp(s).sum()
+            h = np.maximum(a @ t["V"][near] + t["R"][seen[-1]], 0)
+            c = m.of_class[i]
+            g, w = divmod(int(c), lm_score.GROUPS)
+            for z, k in ((h @ p["U"] + p["b"], g), (h @ p["U2"][g] + p["b2"][g], w)):
+                total += (z[k] - np.log(np.exp(z).sum())) / np.log(10)
+            total += m.share[i]
+            seen.append(m.symbol[i])
+        want.append(total)
+    assert np.allclose(lm_score.score(m, ids, 3), want, rtol=1e-4)
+
+
+def test_lm_learns_from_a_share_of_the_corpus(spark, monkeypatch):
+    scratch, rng = Scratch(spark), np.random.default_rng(6)
+    words = ["red fox", "blue bird", "old house"]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, 60))) for i in range(300)], "doc_id long, text string").repartition(5)
+    w = spark.createDataFrame([(np.full(3, k, np.float32).tobytes(), k + 1) for k in range(5)], "w binary, n long")
+    assert np.allclose(np.frombuffer(lm_score.average(w, scratch, 2), np.float32), sum(k * (k + 1) for k in range(5)) / 15)
+    assert lm_score.average(w.limit(0), scratch) is None
+    monkeypatch.setattr(lm_score, "STEPS", 40)
+    sums = []
+    for rounds in ((), ((1.0, 0.01), (1.0, 0.01))):
+        monkeypatch.setattr(lm_score, "ROUNDS", rounds)
+        got = lm_score.score_documents(df, lm_score.fit(df, scratch), scratch).collect()
+        sums.append(sum(r.score for r in got if r.held_out))
+    assert sums[1] > sums[0]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 8)).astype(np.float32)
