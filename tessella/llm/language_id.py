@@ -2,10 +2,12 @@
 
 A suffix automaton of labelled text per language gives the longest match from each
 place of a text; parsing the text into such matches, the language that needs the fewest
-phrases wins (ties: the first by name). Each language has its own alphabet: all characters
-of its sample. Texts are parsed in blocks of a fixed length, so thousands of blocks step
-through the automaton's table together; where the alphabet is large (Chinese), the table
-is a sorted list of transitions.
+phrases wins, times the logarithm of its sample's length, since longer samples have longer
+matches (ties: the first by name). Each language has its own alphabet: all characters
+of its sample. Whole texts are parsed: blocks of a fixed length step through the automaton's
+table together as if each began a phrase, then each is gone through again from the state in
+which the block before ended, up to where both parses are in the same state. Where the
+alphabet is large (Chinese), the table is a sorted list of transitions.
 
 Cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn
 from, every text is `und`; a null doc_id is not held out and never learned from; an empty
@@ -15,7 +17,6 @@ table gives an empty result; repeated rows give one row each; other columns are
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,7 +32,6 @@ from .common import arrow_map, id_remainder, id_remainder_col, kept_in_worker, p
 MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 200, 30_000
 #: Alphabets up to so many characters have a full table of transitions.
 DENSE, BLOCK, LANES = 126, 256, 8192
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -80,28 +80,26 @@ class Dense:
     """Per state and symbol: twice the next state's row start, plus 1 if a phrase ends before the symbol."""
 
     def __init__(self, nxt: list[dict[int, int]], size: int):
-        pad = size + 1
-        go = np.full((len(nxt), size + 2), -1, np.int32 if len(nxt) * (size + 2) * 2 < 2**31 else np.int64)
+        pad, other = size + 1, len(nxt)
+        go = np.full((len(nxt) + 1, size + 2), -1, np.int32 if (len(nxt) + 1) * (size + 2) * 2 < 2**31 else np.int64)
         for s, d in enumerate(nxt):
             for c, t in d.items():
                 go[s, c] = t
-        # In place, since every worker holds such a table per language.
+        # In place, since every worker holds such a table per language. The last state follows a character of no sample, which is a phrase by itself.
         root = np.where(go[0] >= 0, go[0], 0)
+        root[0] = other
         missing = go < 0
         np.copyto(go, root[None, :], where=missing)
+        missing[0] = False  # nothing ends before the first character
         go *= (size + 2) * 2
         go += missing
         go[:, pad] = np.arange(len(go)) * (size + 2) * 2
         self.table = go.ravel()
 
-    def count(self, part: np.ndarray) -> np.ndarray:
-        """Phrases of each column of symbols."""
-        at, n = np.zeros(part.shape[1], self.table.dtype), np.ones(part.shape[1], np.int64)
-        for row in part:
-            v = self.table.take(at + row)
-            n += v & 1
-            at = v >> 1
-        return n
+    def step(self, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and 1 where a phrase ends before the symbol."""
+        v = self.table.take(at + symbols)
+        return v >> 1, v & 1
 
 
 class Sparse:
@@ -112,18 +110,51 @@ class Sparse:
         pairs = sorted((s * self.width + c, t) for s, d in enumerate(nxt) for c, t in d.items())
         self.keys, self.to = np.array([k for k, _ in pairs] + [2**62], np.int64), np.array([t for _, t in pairs] + [0], np.int64)
         self.root = np.zeros(self.width, np.int64)
+        self.root[0] = len(nxt)  # after a character of no sample
         for c, t in nxt[0].items():
             self.root[c] = t
 
-    def count(self, part: np.ndarray) -> np.ndarray:
-        at, n = np.zeros(part.shape[1], np.int64), np.ones(part.shape[1], np.int64)
-        for row in part:
-            key = at * self.width + row
-            i = np.searchsorted(self.keys, key)
-            hit, live = self.keys.take(i) == key, row != self.pad
-            n += live & ~hit
-            at = np.where(live, np.where(hit, self.to.take(i), self.root.take(row)), at)
-        return n
+    def step(self, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = at * self.width + symbols
+        i = np.searchsorted(self.keys, key)
+        hit, live = self.keys.take(i) == key, symbols != self.pad
+        return np.where(live, np.where(hit, self.to.take(i), self.root.take(symbols)), at), (live & ~hit & (at != 0)).astype(np.int64)
+
+
+def count_breaks(table, rows: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that end within each column of symbols, in a parse that goes on from the column before where `follows`."""
+    lanes = rows.shape[1]
+    kind = table.table.dtype if isinstance(table, Dense) else np.int64
+    at, n = np.zeros(lanes, kind), np.zeros(lanes, np.int64)
+    states, sums = np.empty(rows.shape, kind), np.empty(rows.shape, np.int16)
+    for i, symbols in enumerate(rows):
+        at, b = table.step(at, symbols)
+        n += b
+        states[i], sums[i] = at, n
+    whole, end = n.copy(), at.copy()
+    redo = np.flatnonzero(follows)
+    while len(redo):
+        was = end[redo].copy()
+        live, at, got = np.arange(len(redo)), end[redo - 1], np.zeros(len(redo), np.int64)
+        for i, symbols in enumerate(rows):
+            lane = redo[live]
+            at, b = table.step(at, symbols.take(lane))
+            got[live] += b
+            met = at == states[i].take(lane)
+            if met.any():
+                done = live[met]
+                n[redo[done]] = got[done] + whole[redo[done]] - sums[i].take(redo[done])
+                end[redo[done]] = states[-1].take(redo[done])
+                live, at = live[~met], at[~met]
+                if not len(live):
+                    break
+        if len(live):  # no state in common in the whole column
+            n[redo[live]], end[redo[live]] = got[live], at
+        # A column whose end has changed changes the one after it.
+        changed = redo[end[redo] != was] + 1
+        redo = changed[changed < lanes]
+        redo = redo[follows[redo]]
+    return n
 
 
 class Parser:
@@ -131,6 +162,8 @@ class Parser:
 
     def __init__(self, model: Model):
         self.langs = [k for k, _ in model.samples]
+        #: What a phrase costs: the logarithm of the places it may come from.
+        self.weight = np.array([np.log2(len(text) + 2) for _, text in model.samples])
         held = [np.frombuffer(text.lower().encode("utf-32-le"), np.uint32) for _, text in model.samples]
         chars = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]))
         #: Symbol 0: a character of no sample; the last: padding.
@@ -154,9 +187,9 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases per text and language, in one matrix."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        out = np.ones((len(texts), len(self.langs)), np.int64)
         start = 0
-        while start < len(texts):  # so many texts at a time as fill the lanes; a longer text goes in parts
+        while start < len(texts):  # so many texts at a time as fill the lanes; a longer text goes by itself
             rows, owner = [], []
             while start < len(texts) and (not rows or sum(map(len, rows)) < LANES * BLOCK):
                 s = self.symbols(texts[start])
@@ -166,11 +199,10 @@ class Parser:
                 rows.append(padded)
                 owner.append(np.full(n, start))
                 start += 1
-            blocks, own = np.concatenate(rows).reshape(-1, BLOCK), np.concatenate(owner)
-            for a in range(0, len(blocks), LANES):
-                part, of = np.ascontiguousarray(blocks[a : a + LANES].T), own[a : a + LANES]
-                for k, table in enumerate(self.tables):
-                    np.add.at(out[:, k], of, table.count(self.own[k].take(part)))
+            blocks, of = np.ascontiguousarray(np.concatenate(rows).reshape(-1, BLOCK).T), np.concatenate(owner)
+            follows = np.concatenate([[False], of[1:] == of[:-1]])[: len(of)]
+            for k, table in enumerate(self.tables):
+                np.add.at(out[:, k], of, count_breaks(table, self.own[k].take(blocks), follows))
         return out
 
 
@@ -205,16 +237,17 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, phrase_
 
 
 def judge(texts: list[str | None], model: Model) -> list[tuple[str, float, float | None]]:
-    """(language, score, phrases a character in it) of each text. Score: how much fewer phrases the winner needs than the runner-up, as a share."""
-    live = [i for i, t in enumerate(texts) if t and model.samples and _LETTER.search(t)]
+    """(language, score, phrases a character in it) of each text. Score: how much less the winner's phrases cost than the runner-up's, as a share."""
+    live = [i for i, t in enumerate(texts) if t and model.samples and any(map(str.isalpha, t))]
     out: list[tuple[str, float, float | None]] = [("und", 0.0, None)] * len(texts)
     if live:
         p = _parser(model.digest, model)
         got = p.phrases([texts[i] for i in live])
         for i, row in zip(live, got):
-            k = int(row.argmin())
-            rest = np.delete(row, k)
-            out[i] = (p.langs[k], float(1 - row[k] / rest.min()) if len(rest) else 1.0, float(row[k] / len(texts[i])))
+            cost = row * p.weight
+            k = int(cost.argmin())
+            rest = np.delete(cost, k)
+            out[i] = (p.langs[k], float(1 - cost[k] / rest.min()) if len(rest) else 1.0, float(row[k] / len(texts[i])))
     return out
 
 

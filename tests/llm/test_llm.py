@@ -85,7 +85,8 @@ def test_cross_parsing_is_longest_match():
     rng = np.random.default_rng(3)
     sample = "".join(rng.choice(list("abc "), 400))
     p = language_id.Parser(language_id.Model((("x", sample),)))
-    for n in (1, 17, 255):
+    assert p.langs == ["x"]
+    for n in (1, 17, 255, 256, 257, 5000):
         t = "".join(rng.choice(list("abc "), n))
         count, at = 0, 0
         while at < n:
@@ -97,6 +98,30 @@ def test_cross_parsing_is_longest_match():
         assert p.phrases([t])[0, 0] == count
 
 
+def test_parse_of_long_texts_with_rare_and_many_symbols():
+    rng = np.random.default_rng(13)
+    for letters in ("ab", "".join(map(chr, range(0x4E00, 0x4E00 + 200)))):
+        sample = "".join(rng.choice(list(letters), 3000)) + (letters[0] * 700)
+        texts = [letters[0] * 2000, "".join(rng.choice(list(letters + "?"), 3000)), "?" * 600, letters[0] * 255 + "?" + letters[1] * 900]
+        p = language_id.Parser(language_id.Model((("x", sample),)))
+        for t, got in zip(texts, p.phrases(texts)[:, 0].tolist()):
+            count, at = 0, 0
+            while at < len(t):
+                k = 1
+                while at + k <= len(t) and t[at : at + k] in sample:
+                    k += 1
+                at += max(k - 1, 1)
+                count += 1
+            assert got == count
+
+
+def test_only_letters_make_a_language_and_sample_lengths_count():
+    model = language_id.Model((("a", "the cat and the dog " * 9), ("b", "der hund und die katze " * 30)))
+    assert [g[0] for g in language_id.judge(["½ ² ٣ 12", "the dog", "die katze", None], model)] == ["und", "a", "b", "und"]
+    p = language_id.Parser(model)
+    assert p.weight[0] < p.weight[1]
+
+
 def test_languages_of_many_scripts_and_long_documents(spark):
     rng = np.random.default_rng(8)
     scripts = {"ar": range(0x627, 0x64B), "el": range(0x3B1, 0x3CA), "en": range(97, 123), "hi": range(0x905, 0x93A), "ko": range(0xAC00, 0xAC00 + 28 * 20, 28), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E00 + 900)}
@@ -180,6 +205,15 @@ def test_elias_fano(values):
     assert e.all().tolist() == values == [e.select(i) for i in range(len(values))]
 
 
+def test_select_many_is_select():
+    rng = np.random.default_rng(7)
+    for n, step in ((1, 1), (300, 3), (3000, 5000), (2000, 1)):
+        v = np.cumsum(rng.integers(0, step + 1, n)).astype(np.uint64)
+        e = token_file.EliasFano.of(v)
+        at = rng.integers(0, n, 50)
+        assert e.select_many(np.arange(n)).tolist() == v.tolist() and [e.select(int(i)) for i in at] == e.select_many(at).tolist() == v[at].tolist()
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, window=64).collect()
     by_doc, by_seq = Counter(), {}
@@ -336,6 +370,14 @@ def test_license_scan(docs, empty):
     assert "mit-text" in {s[0] for s in [(x.label,) for x in license_scan.scan(docs.limit(1).selectExpr("1L as doc_id", f"'{text}' as text")).collect()[0].found]}
 
 
+def test_a_stray_hit_between_the_halves_of_a_notice_does_not_part_it():
+    held = lambda d, at: [{"template": 5, "label": "x", "whole": False, "grams": 20, "size": 4, "diagonal": d, "a": d + at[0], "b": d + at[-1], "held": at}]
+    votes = held(100, list(range(10))) + held(101, list(range(11, 20)))
+    for stray in ([], held(103 + 5, [5]), held(500, [0])):
+        stray = [dict(v, a=109, b=109) for v in stray]
+        assert [s[0] for s in license_scan.merge(votes + stray, 3, 0.6, {5: []})] == ["x"]
+
+
 def test_license_versions_are_told_apart(spark):
     work = "This work is licensed under a Creative Commons Attribution"
     want = {
