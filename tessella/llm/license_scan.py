@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, lower_ascii, pick, prepare
@@ -205,15 +205,16 @@ def merge(votes: list[dict], drift: int, share: float, telling: dict[int, list[s
         if v0["whole"]:
             out += [(v["label"], True, v["diagonal"], v["diagonal"] + v["grams"] + v["size"] - 2, 1.0) for v in vs if len(v["held"]) == v["grams"]]
             continue
-        span: dict | None = None
-        spans = []
+        spans: list[dict] = []
         for v in sorted(vs, key=lambda v: (v["a"], v["diagonal"])):
-            if span and abs(v["diagonal"] - span["diagonal"]) <= drift and v["a"] <= span["start"] + 2 * v["grams"]:
+            # Of all spans that are still open here, the one on the nearest diagonal takes it in; stray hits on other diagonals are spans of their own.
+            near = [s for s in spans if abs(v["diagonal"] - s["diagonal"]) <= drift and v["a"] <= s["start"] + 2 * v["grams"]]
+            if near:
+                span = min(near, key=lambda s: abs(v["diagonal"] - s["diagonal"]))
                 span["held"] |= set(v["held"])
                 span["b"], span["diagonal"] = max(span["b"], v["b"]), v["diagonal"]
             else:
-                span = {"diagonal": v["diagonal"], "start": v["a"], "a": v["a"], "b": v["b"], "held": set(v["held"])}
-                spans.append(span)
+                spans.append({"diagonal": v["diagonal"], "start": v["a"], "a": v["a"], "b": v["b"], "held": set(v["held"])})
         for s in spans:
             part = len(s["held"]) / v0["grams"]
             if part >= share and all(c & s["held"] for c in telling[v0["template"]]):
@@ -236,7 +237,3 @@ def summary(found: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0)).alias("score"),
     )
 
-
-def spark_templates(spark: SparkSession) -> DataFrame:
-    """The templates as a table."""
-    return spark.createDataFrame([(t.number, t.label, b" ".join(t.words).decode(), t.k, t.whole) for t in templates()], "template int, label string, words string, k int, whole boolean")
