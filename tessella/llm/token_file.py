@@ -3,7 +3,7 @@
 A segment is one blob: a head, the documents' ids and their ends in the segment (both
 Elias-Fano coded), and the token ids one after another in 2 or 4 bytes each. Segments
 hold consecutive documents in ascending doc_id order and are written as rows of a
-Parquet table (segment number within its part, part, counts, blob), so Spark's
+Parquet table (part, segment number within it, counts, ids before it in the part, blob), so Spark's
 committers guard them and any store that Spark writes to will do. A document's offset
 comes from select(), without a table of 64-bit offsets.
 
@@ -29,6 +29,14 @@ SEGMENT_IDS = 1 << 19
 _HEAD = struct.Struct("<8sBQQqQ")
 _MAGIC = b"TSLEF001"
 _EVERY = 256
+#: Of the files: the part and the segment's number in it, its documents and ids, the ids before it in its part, and the segment itself.
+SCHEMA = "part int, segment int, n_docs long, n_ids long, before long, blob binary"
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Per byte: how many ones it has, and where its n-th one is.
+_ONES = _BITS.sum(1, dtype=np.int64)
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)
 
 
 class EliasFano:
@@ -75,6 +83,27 @@ class EliasFano:
         at = byte * 8 + ((b & -b).bit_length() - 1)
         return ((at - i) << self.low_bits) | self._low(i)
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at these places, by the same structure: from each place's sample, byte by byte for all at once, then within the byte."""
+        i = np.asarray(i, np.int64)
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError("out of range")
+        high = np.frombuffer(self.high, np.uint8)
+        byte, left = self.sample[i // _EVERY].astype(np.int64), i - self.before[i // _EVERY].astype(np.int64)
+        move = np.arange(len(i))
+        while len(move):
+            c = _ONES[high[byte[move]]]
+            on = c <= left[move]
+            left[move[on]] -= c[on]
+            move = move[on]
+            byte[move] += 1
+        out = (byte * 8 + _NTH[high[byte], left] - i).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            bit = (i * self.low_bits)[:, None] + np.arange(self.low_bits)
+            low = np.frombuffer(self.low, np.uint8)
+            out |= ((low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
+        return out
+
     def all(self) -> np.ndarray:
         """All numbers; the same as select() of each."""
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n].astype(np.uint64) - np.arange(self.n, dtype=np.uint64)
@@ -133,23 +162,24 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
     """
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pick(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts' beginnings part the rows of one id, or of none, so these don't make one task.
+    rows = pick(docs, "doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     end = int(end_id).to_bytes(width, "little")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         enc = bpe.word_encoder(tokenizer_path(tokenizer), width)
         keys: list = []
         ids: list[bytes] = []
         size = 0
 
         def segment():
-            nonlocal keys, ids, size, number
+            nonlocal keys, ids, size, number, before
             blob = pack_segment(keys, ids, width)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "blob"])
-            keys, ids, size, number = [], [], 0, number + 1
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([before], pa.int64()), pa.array([blob], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "before", "blob"])
+            keys, ids, size, number, before = [], [], 0, number + 1, before + size
             return out
 
         for b in batches:
@@ -163,28 +193,27 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
         if keys:
             yield segment()
 
-    rows.mapInArrow(run, "part int, segment int, n_docs long, n_ids long, blob binary").write.parquet(path)
+    rows.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids.
 
-    Only the parts' totals come to the driver: a number per written part.
+    Only the parts' totals come to the driver: a number per written part. Boundaries are read by select.
     """
     prepare(spark)
-    files = spark.read.schema("part int, segment int, n_docs long, n_ids long, blob binary").parquet(path)
-    starts: dict[int, dict[int, int]] = {}
+    files = spark.read.schema(SCHEMA).parquet(path)
+    starts: dict[int, int] = {}
     total = 0
-    for r in files.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("segment", "n_ids"))).alias("s")).orderBy("part").collect():
-        for s in r.s:
-            starts.setdefault(r.part, {})[s.segment] = total
-            total += s.n_ids
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        starts[r.part] = total
+        total += r.n
 
     def run(b: pa.RecordBatch):
-        for part, number, raw in zip(b.column("part").to_pylist(), b.column("segment").to_pylist(), b.column("blob").to_pylist()):
+        for part, before, raw in zip(b.column("part").to_pylist(), b.column("before").to_pylist(), b.column("blob").to_pylist()):
             s = Segment(raw)
-            first = starts[part][number]
-            ends = s.ends.all().astype(np.int64)
+            first = starts[part] + before
+            ends = s.ends.select_many(np.arange(s.n_docs)).astype(np.int64)
             begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             view = memoryview(raw)
             crc, ids = [], []
@@ -200,4 +229,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return arrow_map(files.select("part", "segment", "blob"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return arrow_map(files.select("part", "before", "blob"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
