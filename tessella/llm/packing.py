@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import bpe
 from .common import lean, pick, prepare, tokenizer_path
 
-#: So many pieces are packed together.
+#: So many pieces are packed together, if no other number is asked for.
 BLOCK_PIECES = 50_000
 
 
@@ -73,9 +73,10 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return place, offset, used
 
 
-def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = False, width: int = 2) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = False, width: int = 2, block: int = BLOCK_PIECES) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
+    Each `block` of pieces of a task is packed by itself, so a task's last windows stay part empty.
     Window numbers are the task's number times 2^33 and a count, so they differ between tasks.
     """
     prepare(docs.sparkSession)
@@ -112,7 +113,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.jso
                         c.append(v)
                     if with_ids:
                         rows[5].append(x[width * a : width * (a + window)])
-                if len(rows[0]) >= BLOCK_PIECES:
+                if len(rows[0]) >= block:
                     yield flush()
         if rows[0]:
             yield flush()
