@@ -42,7 +42,7 @@ def quality_flags() -> Column:
         ("weak_identifier", F.lower("column_name").contains("id") & (F.col("uniqueness") < 0.95)),
         ("constant_column", d == 1),
         ("zero_entropy", (d != 1) & (F.coalesce("entropy_norm", F.lit(0.0)) < 0.01)),
-        ("entropy_collapse", (d != 1) & F.col("entropy_norm").between(0.01, 0.0999999999)),
+        ("entropy_collapse", (d != 1) & (F.col("entropy_norm") >= 0.01) & (F.col("entropy_norm") < 0.1)),
         ("low_cardinality", (d < 3) & (n > 10)),
         ("high_missingness", nulls > 0.5),
         ("high_duplication", F.col("duplicate_ratio") > 0.5),

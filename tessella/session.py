@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "tessella", cores: int | str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None, memory: str = "8g") -> SparkSession:
@@ -22,3 +25,17 @@ def local_session(name: str = "tessella", cores: int | str = "*", shuffle_partit
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, written below spark.checkpoint.dir (on one machine, where that is unset, below a local folder)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            base = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
+        context.setCheckpointDir(base)
+    return df.checkpoint()

@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import catalog
+from tessella.plans import catalog, relations
+
+QUERIES, ORACLES = catalog.QUERIES | relations.QUERIES, catalog.ORACLES | relations.ORACLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -17,13 +19,13 @@ def canonical(rows, columns):
     return sorted(([value(r[i]) for i in order] for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(catalog.ORACLES[name])
+    want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert canonical([tuple(r[c] for c in columns) for r in df.collect()], columns) == canonical(want.fetchall(), columns)
