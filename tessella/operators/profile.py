@@ -29,7 +29,9 @@ def frequencies(df: DataFrame, table: str) -> DataFrame:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b within 0 and 1; 0 where b is 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(a.cast("double"), b.cast("double")))), F.lit(0.0))
+    share = F.try_divide(a.cast("double"), b.cast("double"))
+    # least() and greatest() skip nulls, so a missing share must not reach them.
+    return F.when(share.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def counts(freq: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def read(spark: SparkSession, path: str, sep: str | None = None, strict: bool =
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
-    """path and size of supported files, by Spark's own listing, without their contents."""
+    """path and size of supported files, by Spark's own listing, without their contents. Files without bytes aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return files.where("lower(path) rlike '\\\\.(csv|tsv|txt|parquet|json|ndjson|jsonl)(\\\\.gz)?$'").orderBy("path")
 
