@@ -332,31 +332,6 @@ def test_similar_sets_share_a_signature_whatever_is_common():
         assert np.intersect1d(pe.signatures(r, mark(r)), pe.signatures(s, mark(s))).size
 
 
-def test_near_copies_make_no_more_rows_than_there_are(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TILE", 60)
-    rng = np.random.default_rng(2)
-    base = [f"b{i}" for i in range(40)]
-    data = []
-    for i in range(260):
-        w = list(base)
-        for at in rng.choice(40, 1 + i % 2, replace=False):
-            w[at] = f"e{rng.integers(20)}"
-        data.append((i, " ".join(w)))
-    made = {}
-    real = Scratch.table
-
-    def table(self, df, name):
-        out = real(self, df, name)
-        made[name] = out.count()
-        return out
-
-    monkeypatch.setattr(Scratch, "table", table)
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    assert rows(jaccard_join.components(df), "doc_id", "n_shingles", "component_id") == brute_components(data)
-    groups = made["pe-groups"]
-    assert all(made[k] <= groups for k in made if k.startswith(("pe-pairs", "pe-links"))) and made.get("pe-likely", 0) <= 2 * groups
-
-
 def test_license_scan(docs, empty):
     got = {(r.doc_id): r for r in license_scan.summary(license_scan.scan(docs)).collect()}
     for d in DOCS:
