@@ -60,6 +60,51 @@ def load(path: str):
     return t
 
 
+#: Fixed value: the pattern of byte-level pre-tokens.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@kept_in_worker(*USERS)
+@lru_cache(maxsize=4)
+def ranked(path: str):
+    """An encoder from ranks that gives the library's ids for texts without special tokens, or None if the file doesn't allow it.
+
+    It joins the two neighbours whose joint bytes have the lowest id, whichever merge made
+    them. That is the same if ids ascend with the merges, each merge makes another id and
+    each token's own bytes are encoded as that token: then a token's bytes have come to
+    the two parts of its merge when its turn comes, whatever stands around them.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer, models
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    m, pre = whole["model"], whole["pre_tokenizer"] or {}
+    plain = not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if whole["normalizer"] or not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    bytes_of, vocab = byte_alphabet(), m["vocab"]
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    special = {t["content"] for t in whole["added_tokens"]}
+    tokens = [t for t in vocab if t not in special]
+    if any(a >= b for a, b in zip(made, made[1:])) or not all(c in bytes_of for t in tokens for c in t) or not all(c in vocab for c in bytes_of):
+        return None
+    if len(tokens) != len(bytes_of) + len(made) or max(vocab[c] for c in bytes_of) > made[0]:
+        return None
+    bare = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
+    if any(e.ids != [vocab[t]] for t, e in zip(tokens, bare.encode_batch_fast(tokens, add_special_tokens=False))):
+        return None
+    return tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_LEVEL, mergeable_ranks={bytes(bytes_of[c] for c in t): vocab[t] for t in tokens}, special_tokens={})
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Pieces:
     """What is known of pieces: two generations, each of at most half as many. What is used of the old one moves to the new one."""
 

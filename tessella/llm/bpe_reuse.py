@@ -8,7 +8,9 @@ around it is encoded anew, from one word before the torn one to one word after i
 where the new ids of the words on both sides agree with the chunks' ids, the new ids of
 what lies between take the place of the old ones. Where they don't agree, the window
 widens word by word until they do, or until it reaches the ends of the text. Windows that
-meet are one. Words end at safe places: before white space that follows a printable ASCII
+meet are one. Short chunks and windows without special tokens are encoded from the
+vocabulary's ranks (bpe.ranked), which are proven to give the library's ids, all others by
+the library. Words end at safe places: before white space that follows a printable ASCII
 character, where the vocabulary's pre-tokens part in any context.
 
 Cases: a null text counts as empty: no ids, hashes of the empty string; an empty table
@@ -31,6 +33,8 @@ from .common import arrow_map, kept_in_worker, pick, prepare, tokenizer_path
 
 #: Bytes that the rolling hash covers (a power of two), the share of places that it cuts at, and the bytes of chunks and windows that a worker keeps.
 SPAN, MARKS, KEEP_BYTES = 16, 1 / 512, 48 << 20
+#: Longer parts go to the library, since the pattern of the encoder from ranks takes long for long runs of white space.
+RANKED_BYTES = 4096
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -82,7 +86,9 @@ class ChunkCoder:
 
     def __init__(self, path: str, span: int = SPAN, marks: float = MARKS):
         self.tok, self.kept, self.span, self.marks = bpe.load(path), Kept(KEEP_BYTES), span, marks
-        bytes_of = _byte_alphabet()
+        self.ranked = bpe.ranked(path)
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        bytes_of = bpe.byte_alphabet()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.piece = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -94,6 +100,14 @@ class ChunkCoder:
         self.repaired = self.widened = self.reused = self.learned = 0
 
     def _fresh(self, parts: list[bytes]) -> list[bytes]:
+        if self.ranked is None:
+            return self._by_library(parts)
+        plain = [len(p) <= RANKED_BYTES and not any(t in p for t in self.special) for p in parts]
+        others = iter(self._by_library([p for p, ok in zip(parts, plain) if not ok]))
+        ids_of = self.ranked._core_bpe.encode_to_tiktoken_buffer
+        return [np.frombuffer(ids_of(p.decode(), set()), np.uint32).astype(self.kind).tobytes() if ok else next(others) for p, ok in zip(parts, plain)]
+
+    def _by_library(self, parts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
     def _of(self, parts: list[bytes]) -> dict[bytes, bytes]:
@@ -194,13 +208,6 @@ def windows(cuts: np.ndarray, safe: np.ndarray) -> list[tuple[int, int, int, int
     return out
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for themselves, the others follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @kept_in_worker("bpe_reuse")
 @lru_cache(maxsize=2)
 def coder(path: str) -> ChunkCoder:

@@ -175,6 +175,21 @@ def test_bpe_windows_widen_until_the_sides_agree(monkeypatch):
     assert c.widened and c.decode(got) == c.decode(want)
 
 
+def test_ranks_give_the_librarys_ids():
+    """In every plane that has characters, each code point after and before letters, digits, punctuation and spaces; runs; random mixtures."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, c = bpe.load(path), bpe_reuse.ChunkCoder(path)
+    assert c.ranked is not None and bpe.ranked(public_tokenizers.path("word_bpe_49k.json")) is None
+    rng = np.random.default_rng(8)
+    parts = ["a%sb 1%s2 %s%s.%s!" % ((chr(i),) * 5) for i in [*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]]
+    parts += [x * n for x in (" ", "\n", "a", "1", "'s", "é", "中", "\u2003 ") for n in (1, 2, 100, 2000, 40_000)]
+    some = [" ", "  ", "\n", "'ll", "'S", "don't", "ab", "12", "é", "中文", "...", "\x85", "\xa0", "<|endoftext|>", "🙂", "a\u0301"]
+    parts += ["".join(rng.choice(some, 60)) for _ in range(3000)]
+    for a in range(0, len(parts), 20_000):
+        want = tok.encode_batch_fast(parts[a : a + 20_000], add_special_tokens=False)
+        assert [np.frombuffer(x, c.kind).tolist() for x in c._fresh([p.encode() for p in parts[a : a + 20_000]])] == [e.ids for e in want]
+
+
 def word_ids(t, end):
     tok = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     return tok.encode(t or "", add_special_tokens=False).ids + [end]
