@@ -19,8 +19,8 @@ from .common import kept_in_worker
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker keeps so many pieces (MANY where nothing else needs memory), and none longer than this many bytes.
-PIECES, MANY, PIECE_BYTES = 300_000, 900_000, 48
+#: A worker keeps so many pieces, none longer than this many bytes, and splits texts of so many characters together (a longer one alone).
+PIECES, PIECE_BYTES, TOGETHER = 300_000, 48, 1 << 20
 MARK = b"|"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-case letters that neither normalization nor pre-tokenization changes or parts.
@@ -142,6 +142,15 @@ class WordEncoder:
         (self.mark,) = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out, first, size = [], 0, 0
+        for k, t in enumerate(texts):
+            if size and size + len(t) > TOGETHER:
+                out += self._encode(texts[first:k])
+                first, size = k, 0
+            size += len(t)
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t.encode()) for t in texts]
         have = self.known.of(set().union(*split), self.learn)
         return [b"".join(map(have.__getitem__, words)) for words in split]
@@ -186,4 +195,4 @@ class WordEncoder:
 @kept_in_worker(*USERS)
 @lru_cache(maxsize=4)
 def word_encoder(path: str, width: int = 4) -> WordEncoder:
-    return WordEncoder(path, width, MANY)
+    return WordEncoder(path, width)
