@@ -480,6 +480,7 @@ def test_nearest_with_near_copies_and_a_far_vector(spark):
 def test_tasks_drop_what_other_operators_keep_in_a_worker():
     from tessella.llm import bpe, common
 
+    bpe.load.cache_clear()  # of what other tests have loaded in this process
     bpe.load(common.tokenizer_path("word_bpe_49k.json"))
     assert list(common.lean(iter, "tessella.llm.packing")([1, 2])) == [1, 2]
     assert bpe.load.cache_info().currsize == 1
