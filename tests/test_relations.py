@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import roles
-from tessella.operators import graph, keys, relations, sampling, vectors
+from tessella.operators import graph, keys, profile, relations, sampling, vectors
 from tessella.sources import exports, files, intake
 
 EDGE = "fk_table string, fk_column string, pk_table string, pk_column string, confidence double, containment double"
@@ -53,6 +53,11 @@ def test_pairs_with_null_values(spark):
     assert abs(r.confidence - base) < 1e-9 and r.suppressed and not r.accepted
 
 
+def test_top_values_of_a_column_of_many_rows(spark):
+    freq = spark.createDataFrame([("t", "c", "text", v, n) for v, n in (("b", 9_000_000), ("a", 9_000_000), ("z", 1), (None, 5))], "table_name string, column_name string, kind string, value string, freq long")
+    assert sorted((r.rank, r.value, r.freq) for r in profile.top_values(freq).collect()) == [(1, "a", 9_000_000), (2, "b", 9_000_000), (3, "z", 1)]
+
+
 def test_adjudication(spark):
     f = lambda *x: relations.adjudicate(*[F.lit(v) for v in x])
     cases = {(0.96, 0.6, 0.0, 0.1, False, True): "TRUE_FK", (0.9, 0.7, 0.5, 0.9, False, False): "TRUE_FK", (0.2, 0.8, 1.0, 0.9, True, True): "SEMANTICALLY_RELATED", (0.6, 0.2, 1.0, 0.9, True, True): "SHARED_ENTITY_DOMAIN", (0.9, 0.2, 1.0, 0.9, False, True): "FALSE_POSITIVE", (0.6, 0.2, 1.0, 0.9, False, False): "POSSIBLE_REFERENCE", (0.99, 0.1, 1.0, 0.9, False, False): "FALSE_POSITIVE"}
