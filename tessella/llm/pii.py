@@ -38,7 +38,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LONG = re.compile(r"[0-9][0-9\x20-]{14}")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-BITS = 1 << 20
+#: Up to so many terms, tasks get their hashes and count nothing else; of more, a bitmap of so many bits.
+EXACT, BITS = 1 << 19, 1 << 26
 
 
 def luhn(digits: str) -> bool:
@@ -140,15 +141,28 @@ def _hash_of(terms: list[str]) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in terms]
 
 
-def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term and the number of documents that hold it, for the wanted terms: each task counts for itself what the bitmap lets pass, then the counts are added up and joined exactly."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "term", BITS))
+def _partial_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, n: each task's own counts of documents that hold a wanted term, one row per term and task (and per 200,000 terms counted); past EXACT terms, some unwanted ones too."""
+    exact = wanted.count() <= EXACT
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["term"].to_numpy(np.int64)) if exact else bitmap(wanted, "term", BITS))
 
     def run(batches):
-        mask = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        table = sent.value
         count: dict[int, int] = {}
         passes: dict[str, int | None] = {}
 
+        low = bytearray(1 << 20)  # most terms aren't wanted, and their last 20 bits tell
+        if exact:
+            np.frombuffer(low, np.uint8)[table & 0xFFFFF] = 1
+
+        def held(h):
+            if not exact:
+                return table[(h & (BITS - 1)) >> 3] >> (h & 7) & 1
+            if not low[h & 0xFFFFF]:
+                return False
+            at = np.searchsorted(table, h)
+            return at < len(table) and table[at] == h
+
         def out():
             r = pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
             count.clear()
@@ -162,15 +176,19 @@ def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         if len(passes) > 400_000:
                             passes.clear()
                         h = _hash_of([w])[0]
-                        h = passes[w] = h if mask[h & (BITS - 1)] else None
+                        h = passes[w] = h if held(h) else None
                     if h is not None:
                         count[h] = count.get(h, 0) + 1
                 if len(count) > 200_000:
                     yield out()
         yield out()
 
-    parts = pick(docs, "text").mapInArrow(lean(run), "term long, n long")
-    return parts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
+    return pick(docs, "text").mapInArrow(lean(run), "term long, n long")
+
+
+def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term and the number of documents that hold it, for the wanted terms: the tasks' counts are added up and joined exactly."""
+    return _partial_counts(docs, wanted).groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
 
 
 def _shared(scanned: DataFrame, min_support: int) -> DataFrame:
@@ -178,11 +196,11 @@ def _shared(scanned: DataFrame, min_support: int) -> DataFrame:
     return scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, min_support: int = 3, threshold: float = 0.5) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, scratch: Scratch, min_support: int = 3, threshold: float = 0.5) -> DataFrame:
     """entity, term (its hash) and disclosure (PMI as a share of the entity's information content) of the pairs over the threshold."""
     by_entity = _shared(scanned, min_support)
     held = scanned.select(F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms")).join(by_entity.select("entity"), "entity", "left_semi")
-    pairs = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
+    pairs = scratch.table(held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support), "pii-pairs")
     total = max(1, scanned.count())
     counts = _document_counts(docs, pairs.select("term").distinct())
     d = F.lit(float(total))
@@ -197,7 +215,7 @@ def detect(docs: DataFrame, scratch: Scratch | None = None, min_support: int = 3
     spark = prepare(docs.sparkSession)
     scratch = scratch or Scratch(spark)
     scanned = scratch.table(_scan(docs), "pii-scan")
-    risky = scratch.table(disclosures(docs, scanned, min_support, threshold), "pii-risky")
+    risky = scratch.table(disclosures(docs, scanned, scratch, min_support, threshold), "pii-risky")
     # Per document, the terms that one of its entities makes risky; then every place of those.
     held = scanned.select("row", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms")).join(risky.select("entity").distinct(), "entity", "left_semi")
     told = held.select("row", "entity", F.explode("terms").alias("term")).join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d"))

@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with odd cases."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -298,6 +299,22 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
     assert all("zorblatt" not in text[i].lower() and "please" in text[i] for i in range(6))
 
 
+def test_tasks_count_the_wanted_terms_alone(spark, monkeypatch):
+    words, low, wanted = ("".join(w) for w in itertools.product("abcdefghij", repeat=4)), {}, []
+    for w in words:  # pairs whose hashes end in the same 20 bits
+        h = pii._hash_of([w])[0]
+        wanted += [(low[h & 0xFFFFF], w)] if h & 0xFFFFF in low else []
+        low.setdefault(h & 0xFFFFF, w)
+    df = spark.createDataFrame([(" ".join(x),) for x in wanted for _ in range(3)], "text string").repartition(2)
+    want = spark.createDataFrame([(pii._hash_of([x[0]])[0],) for x in wanted], "term long")
+    held = {r.term for r in want.collect()}
+    assert wanted and {r.term for r in pii._partial_counts(df, want).collect()} == held
+    for exact in (pii.EXACT, 0):  # as a bitmap, too, the joined counts are exact
+        monkeypatch.setattr(pii, "EXACT", exact)
+        assert {(r.term, r.n_term) for r in pii._document_counts(df, want).collect()} == {(h, 3) for h in held}
+    assert pii._document_counts(df, want.limit(0)).count() == 0
+
+
 def brute_components(data):
     sets = []
     for _, t in data:
