@@ -6,11 +6,10 @@ and the class gives the id by its share of the class in the training corpus. Win
 overlap by the context, and each id is scored once, in batches with one mask.
 
 Counts cover all training documents: words (for the base score), and through the distinct
-words the subword ids. The attention weights start from a bounded sample of training
-documents (SAMPLE_DOCS documents about, of long ones an excerpt of SAMPLE_CHARS characters).
-Rounds over a fixed share of all training documents follow (ROUNDS; whole documents of any
-length), in which each task trains on its own documents and Spark averages the weights, so what
-the model learns from grows with the corpus.
+words the subword ids. The attention weights learn from all training documents, whole ones of any
+length, each once (ROUNDS): each task trains on its own documents and Spark averages the weights.
+All tasks start from the same weights, fitted to a few documents (about SAMPLE_DOCS, of long ones
+an excerpt of SAMPLE_CHARS characters); these are only where the pass over all of them begins.
 
 Frequent words (at most HEAD, by a threshold on their counts) are counted where the text
 is; the others travel as (row, word hash, count) and are joined with the corpus counts.
@@ -42,8 +41,8 @@ WIDTH, HIDDEN, OWN = 16, 32, 2047
 #: Classes come in groups of as many: the model gives the group, then the class in it. The last 2 * BINS classes hold the rarer ids.
 GROUPS, BINS = 32, 32
 STEPS, WINDOWS = 1500, 192
-#: Rounds over the corpus after that, as (share of the training documents, rate).
-ROUNDS = ((0.03, 0.003), (0.02, 0.0015))
+#: Rounds over the corpus after that, as (share of the training documents, rate). The first steps of a task take WINDOWS windows, later ones up to so many times as many.
+ROUNDS, LARGEST = ((1.0, 0.003),), 5
 #: Scores and logits stay within it.
 LIMIT = np.float32(30)
 
@@ -292,9 +291,11 @@ def gradients(model: Model, x: np.ndarray, t: np.ndarray) -> dict[str, np.ndarra
     d["Wq"] = eq.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
     d["Wk"] = ek.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
     d["Wv"] = ek.reshape(-1, WIDTH).T @ dv.reshape(-1, HIDDEN)
-    d["E"] = np.zeros_like(p["E"])
-    np.add.at(d["E"], q.ravel(), (dh @ p["W1"].T + dq @ p["Wq"].T).reshape(-1, WIDTH))
-    np.add.at(d["E"], x.ravel(), (dk @ p["Wk"].T + dv @ p["Wv"].T).reshape(-1, WIDTH))
+    de = dk @ p["Wk"].T
+    de += dv @ p["Wv"].T
+    de[:, SPAN - 1 :] += dh @ p["W1"].T + dq @ p["Wq"].T
+    at = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=x.dtype)).ravel()
+    d["E"] = np.bincount(at, de.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
     return d
 
 
@@ -367,31 +368,35 @@ def average(weights: DataFrame, scratch: Scratch, fan: int = 32) -> bytes | None
 
 
 def refine(docs: DataFrame, model: Model, scratch: Scratch, mod: int, left_out: int, share: float, rate: float, salt: int) -> Model:
-    """One round over a share of the training documents, whole ones of any length: each task goes on from the model with the windows of its documents, and the tasks' weights are averaged. What is learned from grows with the corpus."""
+    """One round over a share of the training documents (1: all), whole ones of any length: each task goes on from the model with the windows of its documents, and the tasks' weights are averaged."""
     rows = pick(docs, "doc_id", "text").where(id_remainder_col(F.col("doc_id"), mod) != left_out)
-    rows = rows.where(F.xxhash64("doc_id", F.lit(salt)).cast("double") / F.lit(2.0**64) + 0.5 < share)
+    if share < 1:
+        rows = rows.where(F.xxhash64("doc_id", F.lit(salt)).cast("double") / F.lit(2.0**64) + 0.5 < share)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         tok, rng = bpe.WordEncoder(tokenizer_path(TOKENIZER), 2), np.random.default_rng(salt)
         mine = replace(sent.value)
-        adam, held, seen = Adam(mine), [], 0
+        adam, held, waiting, seen = Adam(mine), [], 0, 0
 
         def learn():
-            nonlocal seen
+            nonlocal seen, waiting
             sym, tgt = (np.concatenate(z) for z in zip(*held))
-            order = rng.permutation(len(sym))
-            for a in range(0, len(sym), WINDOWS):
-                at = order[a : a + WINDOWS]
+            order, a = rng.permutation(len(sym)), 0
+            while a < len(sym):
+                at = order[a : a + WINDOWS * min(LARGEST, 1 + adam.step // 20)]
+                a += len(at)
                 # A part of a batch counts as that part.
-                adam.go(sym[at], tgt[at], rate * min(1.0, (adam.step + 1) / 20) * len(at) / WINDOWS)
+                adam.go(sym[at], tgt[at], rate * min(1.0, (adam.step + 1) / 20, len(at) / WINDOWS))
                 seen += len(at)
             held.clear()
+            waiting = 0
 
         for b in batches:
             for x in tok.encode([t or "" for t in b.column("text").to_pylist()]):
                 held.append(_windows(mine, [np.frombuffer(x, "<u2")])[:2])
-                if sum(len(w[0]) for w in held) > 20_000:
+                waiting += len(held[-1][0])
+                if waiting > 20_000:
                     learn()
         if held:
             learn()

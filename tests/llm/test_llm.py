@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe, bpe_reuse, jaccard_join, language_id, license_scan, lm_score, nearest, packing, pii, quality_rules, token_file
@@ -456,6 +457,24 @@ def test_lm_learns_from_a_share_of_the_corpus(spark, monkeypatch):
     assert sums[1] > sums[0]
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    rng, scratch, seen = np.random.default_rng(7), Scratch(spark), []
+    words = np.array(["red", "fox", "blue", "bird", "old", "house"])
+    data = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([*rng.integers(0, 40, 300).tolist(), 30_000])] + [(400, None), (None, "red fox")]
+    mean = lm_score.average
+
+    def spy(weights, scratch):
+        seen.append(weights.agg(F.sum("n").alias("n")).collect()[0].n)
+        return mean(weights, scratch)
+
+    monkeypatch.setattr(lm_score, "STEPS", 5)
+    monkeypatch.setattr(lm_score, "average", spy)
+    lm_score.fit(spark.createDataFrame(data, "doc_id long, text string").repartition(3), scratch)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    learned = [t or "" for i, t in data if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    assert max(seen) == sum(-(-(len(tok.encode(t, add_special_tokens=False).ids) + 1) // lm_score.STRIDE) for t in learned)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 8)).astype(np.float32)
