@@ -7,6 +7,7 @@ import gc
 import glob
 import os
 import tempfile
+import threading
 import time
 import uuid
 import zipfile
@@ -27,6 +28,10 @@ FREE_EVERY = 4.0
 _shipped: set[str] = set()
 #: What operators keep in a worker between tasks: function -> the modules that use it, and how to drop it.
 _kept: dict[str, tuple[tuple[str, ...], Callable[[], None]]] = {}
+#: A worker that got no task for so many seconds drops all of that.
+IDLE = 1.5
+_tasks = [0]
+_turn = threading.Lock()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -81,24 +86,50 @@ def kept_in_worker(*users: str):
 def lean(fn, module: str | None = None):
     """fn for mapInArrow: drops what operators of other modules left in the worker, and gives freed memory back at both ends.
 
-    Workers outlive their stages, so otherwise each operator of a chain adds to what the ones before it hold.
+    Workers outlive their stages, so otherwise each operator of a chain adds to what the ones before it hold. Spark takes
+    the worker that has been idle longest, so what one keeps may wait through several stages: it goes after IDLE seconds.
     """
     module = module or fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for users, drop in _kept.values():
-            if module.rpartition(".")[2] not in users:
-                drop()
+        task = begin_task(module)
         one_blas_thread()
         trim()
         try:
             yield from fn(batches)
         finally:
             trim()
+            end_task(task)
 
     return run
 
 
+def begin_task(module: str) -> int:
+    """Drops what other modules keep; gives the task's number within this worker."""
+    with _turn:
+        _tasks[0] += 1
+        for users, drop in list(_kept.values()):
+            if module.rpartition(".")[2] not in users:
+                drop()
+        return _tasks[0]
+
+
+def end_task(task: int) -> None:
+    """Drops everything kept, unless another task begins soon."""
+    later = threading.Timer(IDLE, drop_if_idle, (task,))
+    later.daemon = True
+    later.start()
+
+
+def drop_if_idle(task: int) -> None:
+    with _turn:
+        if _tasks[0] == task:
+            for _, drop in list(_kept.values()):
+                drop()
+            gc.collect()
+            trim()
+
+
 @lru_cache(maxsize=1)
 def one_blas_thread() -> None:
     """Numpy's products on small matrices gain nothing from more threads, which spin while they wait; one core per task is what Spark counts on."""

@@ -31,7 +31,7 @@ from .common import arrow_map, id_remainder, id_remainder_col, kept_in_worker, p
 #: The classifier's sample of labelled rows: so many languages (those with most documents), documents of each about, and characters of each.
 MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 200, 30_000
 #: Alphabets up to so many characters have a full table of transitions.
-DENSE, BLOCK, LANES = 126, 256, 8192
+DENSE, BLOCK, LANES = 126, 256, 4096
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,7 @@ class Parser:
         for u in held:
             s = self.symbol[u]
             mine = np.unique(s)
-            own = np.zeros(self.pad + 1, np.int32)
+            own = np.zeros(self.pad + 1, np.min_scalar_type(len(mine) + 1))
             own[mine] = np.arange(1, len(mine) + 1)
             own[self.pad] = len(mine) + 1
             self.own.append(own)
@@ -201,8 +201,11 @@ class Parser:
                 start += 1
             blocks, of = np.ascontiguousarray(np.concatenate(rows).reshape(-1, BLOCK).T), np.concatenate(owner)
             follows = np.concatenate([[False], of[1:] == of[:-1]])[: len(of)]
+            mine = np.empty(blocks.shape, self.symbol.dtype)
             for k, table in enumerate(self.tables):
-                np.add.at(out[:, k], of, count_breaks(table, self.own[k].take(blocks), follows))
+                for i, row in enumerate(blocks):  # by rows, since take() makes eight bytes of each symbol
+                    mine[i] = self.own[k].take(row)
+                np.add.at(out[:, k], of, count_breaks(table, mine, follows))
         return out
 
 

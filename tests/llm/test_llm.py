@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -522,3 +523,33 @@ def test_tasks_drop_what_other_operators_keep_in_a_worker():
     assert bpe.load.cache_info().currsize == 1
     assert list(common.lean(iter, "tessella.llm.language_id")([])) == []
     assert bpe.load.cache_info().currsize == 0
+
+
+def test_an_idle_worker_keeps_nothing(monkeypatch):
+    from tessella.llm import common
+
+    def wait(seconds, until):
+        end = time.monotonic() + seconds
+        while time.monotonic() < end and not until():
+            time.sleep(0.02)
+
+    monkeypatch.setattr(common, "IDLE", 0.3)
+    bpe.load(common.tokenizer_path("word_bpe_49k.json"))
+    assert list(common.lean(iter, "tessella.llm.packing")([1])) == [1]
+    busy = common.lean(iter, "tessella.llm.packing")([1, 2])
+    assert next(busy) == 1
+    wait(0.8, lambda: False)
+    assert bpe.load.cache_info().currsize == 1  # another task has begun
+    assert list(busy) == [2]
+    wait(10, lambda: not bpe.load.cache_info().currsize)
+    assert bpe.load.cache_info().currsize == 0
+
+
+def test_language_tables_take_small_symbols():
+    """Per text and language a worker holds one byte a symbol where the alphabets are small; the parse is that of wide ones."""
+    p = language_id.Parser(language_id.Model((("de", BASE[::-1] * 3), ("en", BASE * 3))))
+    texts = [BASE, "zzz" + BASE * 40, "?"]
+    assert {x.dtype.itemsize for x in p.own} == {1}
+    narrow = p.phrases(texts)
+    p.own = [x.astype(np.int32) for x in p.own]
+    assert np.array_equal(narrow, p.phrases(texts))
