@@ -5,8 +5,8 @@ attention head looks at the last SPAN ids; a hidden layer then gives the next id
 and the class gives the id by its share of the class in the training corpus. Windows
 overlap by the context, and each id is scored once, in batches with one mask.
 
-Counts cover all training documents: words (for the base score), and through the distinct
-words the subword ids. The attention weights learn from all training documents, whole ones of any
+Each text is encoded once, into a written table that counting, learning and scoring read.
+Counts cover all training documents: words (for the base score) and subword ids. The attention weights learn from all training documents, whole ones of any
 length, each once (ROUNDS): each task trains on its own documents and Spark averages the weights.
 All tasks start from the same weights, fitted to a few documents (about SAMPLE_DOCS, of long ones
 an excerpt of SAMPLE_CHARS characters); these are only where the pass over all of them begins.
@@ -82,21 +82,31 @@ def count_words(docs: DataFrame, mod: int, left_out: int) -> DataFrame:
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_ids(words: DataFrame) -> np.ndarray:
-    """How often each subword id stands in the training documents: the distinct words' ids, times their counts."""
+def encode_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text and ids (little-endian, two bytes each; a null text has none) of every document, written."""
+    prepare(docs.sparkSession)
 
     def run(batches):
-        enc, total = bpe.WordEncoder(tokenizer_path(TOKENIZER), 2), np.zeros(VOCABULARY)
+        enc = bpe.word_encoder(tokenizer_path(TOKENIZER), 2)
         for b in batches:
-            for a in range(0, b.num_rows, 20_000):
-                part = b.slice(a, 20_000)
-                ids = enc.encode([w.decode() for w in part.column("word").to_pylist()])
-                sizes = [len(x) // 2 for x in ids]
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), np.repeat(part.column("n").to_numpy(), sizes), VOCABULARY)
+            ids = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+
+    return scratch.table(pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, text string, ids binary"), "lm-ids")
+
+
+def count_ids(rows: DataFrame, mod: int, left_out: int) -> np.ndarray:
+    """How often each subword id stands in the training documents, from encode_documents()."""
+
+    def run(batches):
+        total = np.zeros(VOCABULARY, np.int64)
+        for b in batches:
+            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2"), minlength=VOCABULARY)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = words.where(F.octet_length("word") > 0).mapInArrow(run, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    mine = rows.where(id_remainder_col(F.col("doc_id"), mod) != left_out).select("ids")
+    got = mine.mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY)
     out[got["id"].to_numpy(int)] = got["n"].to_numpy(float)
     return out
@@ -178,26 +188,24 @@ def _bias(model: Model) -> np.ndarray:
 def _forward(model: Model, tables: dict, bias: np.ndarray, sym: np.ndarray):
     """Attention, values, and the hidden layer of each scored place."""
     q = sym[:, SPAN - 1 :]
-    s = tables["Q"][q] @ tables["K"][sym].transpose(0, 2, 1)
+    s = tables["Q"].take(q, 0) @ tables["K"].take(sym, 0).transpose(0, 2, 1)
     np.clip(s, -LIMIT, LIMIT, out=s)  # keeps exp() finite without a search for each row's largest
     s += bias
-    if sym.max() == model.pad:
-        s += np.where(sym == model.pad, np.float32(-1e9), np.float32(0))[:, None, :]
+    padded = np.flatnonzero(sym[:, 0] == model.pad)  # a document's first windows; what follows its end, no scored place looks at
+    if len(padded):
+        s[padded] += np.where(sym[padded] == model.pad, np.float32(-1e9), np.float32(0))[:, None, :]
     np.exp(s, out=s)
     s /= (s @ np.ones(s.shape[2], np.float32))[:, :, None]
-    v = tables["V"][sym]
+    v = tables["V"].take(sym, 0)
     h = s @ v
-    h += tables["R"][q]
+    h += tables["R"].take(q, 0)
     np.maximum(h, 0, out=h)
     return s, v, h
 
 
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax at one place per row; z becomes the exponentials."""
-    np.clip(z, -LIMIT, LIMIT, out=z)
-    chosen = z[np.arange(len(at)), at]
-    np.exp(z, out=z)
-    return chosen - np.log(z @ np.ones(z.shape[1], np.float32))
+def _heads(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per group, weights and shifts of both levels at once: the logits of all groups, then those of its classes."""
+    return np.concatenate([np.broadcast_to(p["U"], (GROUPS, HIDDEN, GROUPS)), p["U2"]], 2), np.concatenate([np.broadcast_to(p["b"], (GROUPS, GROUPS)), p["b2"]], 1)
 
 
 #: Sums up the first GROUPS columns, and the others.
@@ -207,17 +215,16 @@ _LEVELS = np.repeat(np.eye(2, dtype=np.float32), GROUPS, 0)
 def score(model: Model, ids: list[np.ndarray], block: int = 1024) -> np.ndarray:
     """log10 probability of each document; each id is scored once."""
     sym, tgt, of, out = _windows(model, ids)
-    tables, bias, p = model.tables(), _bias(model), model.p
+    tables, bias = model.tables(), _bias(model)
     per = np.zeros(len(sym))
-    both = np.concatenate([np.broadcast_to(p["U"], (GROUPS, HIDDEN, GROUPS)), p["U2"]], 2)
-    shift = np.concatenate([np.broadcast_to(p["b"], (GROUPS, GROUPS)), p["b2"]], 1)
+    both, shift = _heads(model.p)
     for a in range(0, len(sym), block):
         size = min(block, len(sym) - a)
         hidden = _forward(model, tables, bias, sym[a : a + size])[2].reshape(-1, HIDDEN)
         t = tgt[a : a + size].ravel()
         live = np.flatnonzero(t >= 0)
         live = live[np.argsort(t[live].astype(np.int16), kind="stable")]
-        t, h = t[live], hidden[live]
+        t, h = t[live], hidden.take(live, 0)
         group, within = t // GROUPS, t % GROUPS
         got = np.empty(len(t), np.float32)
         edge = np.searchsorted(group, np.arange(GROUPS + 1))
@@ -251,49 +258,55 @@ def fresh(counts: np.ndarray, ends_word: np.ndarray, seed: int = 11) -> Model:
 def gradients(model: Model, x: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss of the windows x at the targets t (-1: none)."""
     p, root = model.p, np.sqrt(np.float32(WIDTH))
-    a, v, h = _forward(model, model.tables(), _bias(model), x)
+    tables = model.tables()
+    a, v, h = _forward(model, tables, _bias(model), x)
     flat = h.reshape(-1, HIDDEN)
     live = np.flatnonzero(t >= 0)
     live = live[np.argsort(t[live].astype(np.int16), kind="stable")]
-    f, group, within = flat[live], t[live] // GROUPS, t[live] % GROUPS
+    f, group, within = flat.take(live, 0), t[live] // GROUPS, t[live] % GROUPS
     scale = np.float32(1 / max(len(live), 1))
-
-    def slope(z, at):
-        _log_softmax(z, at)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(at)), at] -= 1
-        z *= scale
-        return z
-
-    g = slope(f @ p["U"] + p["b"], group)
-    d = {"U": f.T @ g, "b": g.sum(0), "U2": np.zeros_like(p["U2"]), "b2": np.zeros_like(p["b2"])}
-    df = g @ p["U"].T
+    both, shift = _heads(p)
+    d_both, d_shift, df = np.zeros_like(both), np.zeros_like(shift), np.empty_like(f)
     edge = np.searchsorted(group, np.arange(GROUPS + 1))
     for k in range(GROUPS):
         i, j = edge[k], edge[k + 1]
         if j > i:
-            g = slope(f[i:j] @ p["U2"][k] + p["b2"][k], within[i:j])
-            d["U2"][k], d["b2"][k] = f[i:j].T @ g, g.sum(0)
-            df[i:j] += g @ p["U2"][k].T
-    dh = np.zeros_like(flat)
-    dh[live] = df
-    dh = (dh * (flat > 0)).reshape(h.shape)
+            z = f[i:j] @ both[k]
+            z += shift[k]
+            np.clip(z, -LIMIT, LIMIT, out=z)
+            np.exp(z, out=z)
+            levels = z.reshape(j - i, 2, GROUPS)
+            levels *= (scale / (z @ _LEVELS))[:, :, None]
+            z[:, k] -= scale
+            z[np.arange(j - i), GROUPS + within[i:j]] -= scale
+            d_both[k], d_shift[k] = f[i:j].T @ z, np.ones(j - i, np.float32) @ z
+            np.matmul(z, both[k].T, out=df[i:j])
+    d = {"U": d_both[:, :, :GROUPS].sum(0), "b": d_shift[:, :GROUPS].sum(0), "U2": d_both[:, :, GROUPS:], "b2": d_shift[:, GROUPS:]}
+    df *= f > 0
+    dflat = np.zeros_like(flat)
+    dflat[live] = df
+    dh = dflat.reshape(h.shape)
     q = x[:, SPAN - 1 :]
-    eq, ek = p["E"][q], p["E"][x]
-    d["c"] = dh.sum((0, 1))
-    d["W1"] = eq.reshape(-1, WIDTH).T @ dh.reshape(-1, HIDDEN)
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq = ds @ (ek @ p["Wk"]) / root
-    dk = ds.transpose(0, 2, 1) @ (eq @ p["Wq"]) / root
+    eq, ek = p["E"].take(q.ravel(), 0), p["E"].take(x.ravel(), 0)
+    d["c"] = np.ones(len(dflat), np.float32) @ dflat
+    d["W1"] = eq.T @ dflat
+    dv = (a.transpose(0, 2, 1) @ dh).reshape(-1, HIDDEN)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds *= a
+    a *= (ds @ np.ones(ds.shape[2], np.float32))[:, :, None]
+    ds -= a
+    # Of the products by E, before they are divided by the root; the table of Q holds it already.
+    dq = (ds @ tables["K"].take(x, 0)).reshape(-1, WIDTH)
+    dk = (ds.transpose(0, 2, 1) @ tables["Q"].take(q, 0)).reshape(-1, WIDTH)
     d["r"] = np.bincount(_DISTANCE[_DISTANCE >= 0], ds.sum(0)[_DISTANCE >= 0], SPAN).astype(np.float32)
-    d["Wq"] = eq.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
-    d["Wk"] = ek.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    d["Wv"] = ek.reshape(-1, WIDTH).T @ dv.reshape(-1, HIDDEN)
+    d["Wq"] = eq.T @ dq / root
+    d["Wk"] = ek.T @ dk
+    d["Wv"] = ek.T @ dv
     de = dk @ p["Wk"].T
     de += dv @ p["Wv"].T
-    de[:, SPAN - 1 :] += dh @ p["W1"].T + dq @ p["Wq"].T
+    dx = dflat @ p["W1"].T
+    dx += dq @ (p["Wq"].T / root)
+    de.reshape(*x.shape, WIDTH)[:, SPAN - 1 :] += dx.reshape(*q.shape, WIDTH)
     at = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=x.dtype)).ravel()
     d["E"] = np.bincount(at, de.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
     return d
@@ -367,15 +380,15 @@ def average(weights: DataFrame, scratch: Scratch, fan: int = 32) -> bytes | None
     return None
 
 
-def refine(docs: DataFrame, model: Model, scratch: Scratch, mod: int, left_out: int, share: float, rate: float, salt: int) -> Model:
+def refine(rows: DataFrame, model: Model, scratch: Scratch, mod: int, left_out: int, share: float, rate: float, salt: int) -> Model:
     """One round over a share of the training documents (1: all), whole ones of any length: each task goes on from the model with the windows of its documents, and the tasks' weights are averaged."""
-    rows = pick(docs, "doc_id", "text").where(id_remainder_col(F.col("doc_id"), mod) != left_out)
+    rows = rows.select("doc_id", "ids").where(id_remainder_col(F.col("doc_id"), mod) != left_out)
     if share < 1:
         rows = rows.where(F.xxhash64("doc_id", F.lit(salt)).cast("double") / F.lit(2.0**64) + 0.5 < share)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        tok, rng = bpe.WordEncoder(tokenizer_path(TOKENIZER), 2), np.random.default_rng(salt)
+        rng = np.random.default_rng(salt)
         mine = replace(sent.value)
         adam, held, waiting, seen = Adam(mine), [], 0, 0
 
@@ -393,7 +406,7 @@ def refine(docs: DataFrame, model: Model, scratch: Scratch, mod: int, left_out:
             waiting = 0
 
         for b in batches:
-            for x in tok.encode([t or "" for t in b.column("text").to_pylist()]):
+            for x in b.column("ids").to_pylist():
                 held.append(_windows(mine, [np.frombuffer(x, "<u2")])[:2])
                 waiting += len(held[-1][0])
                 if waiting > 20_000:
@@ -463,9 +476,10 @@ class Trained:
     words: DataFrame
 
 
-def fit(docs: DataFrame, scratch: Scratch, mod: int = 7, left_out: int = 2, head: int = HEAD) -> Trained:
-    """Learns from the documents whose remainder isn't `left_out`."""
-    spark = prepare(docs.sparkSession)
+def fit(docs: DataFrame, scratch: Scratch, mod: int = 7, left_out: int = 2, head: int = HEAD, rows: DataFrame | None = None) -> Trained:
+    """Learns from the documents whose remainder isn't `left_out`; rows: their encode_documents(), if that is there already."""
+    prepare(docs.sparkSession)
+    rows = encode_documents(docs, scratch) if rows is None else rows
     words = scratch.table(count_words(docs, mod, left_out).withColumn("h", F.xxhash64("word")), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.octet_length("word") == 0, F.col("n"))).alias("d")).collect()[0]
     # A threshold on the counts, from a histogram of at most a few hundred bins, so that at most `head` words reach it.
@@ -480,7 +494,7 @@ def fit(docs: DataFrame, scratch: Scratch, mod: int = 7, left_out: int = 2, head
             least = min(above) if above else 1 << 62
             break
     top = words.where(F.col("n") >= least).select("h", "n").toPandas().sort_values("h")
-    counts = count_ids(words)
+    counts = count_ids(rows, mod, left_out)
     docs_n = total.d or 0
     counts[END_ID] += docs_n
     share = min(1.0, SAMPLE_DOCS / docs_n) if docs_n else 0.0
@@ -497,24 +511,25 @@ def fit(docs: DataFrame, scratch: Scratch, mod: int = 7, left_out: int = 2, head
         ends[i] = token.endswith("</w>")
     model = train(ids, counts, ends)
     for k, (part, rate) in enumerate(ROUNDS if docs_n else ()):
-        model = refine(docs, model, scratch, mod, left_out, part, rate, 100 + k)
+        model = refine(rows, model, scratch, mod, left_out, part, rate, 100 + k)
     return Trained(model, int(total.n or 0), int(total.v), top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(least), words)
 
 
-def score_documents(docs: DataFrame, trained: Trained, scratch: Scratch, mod: int = 7, left_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score_documents(docs: DataFrame, trained: Trained, scratch: Scratch, mod: int = 7, left_out: int = 2, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; rows as in fit()."""
     spark = prepare(docs.sparkSession)
+    rows = encode_documents(docs, scratch) if rows is None else rows
     shared = spark.sparkContext.broadcast((trained.model, trained.head, np.log10(trained.head_n + 1.0)))
     smooth = float(np.log10(trained.tokens + trained.distinct + 1))
-    rows = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
         model, head, value = shared.value
-        tok, counter = bpe.WordEncoder(tokenizer_path(TOKENIZER), 2), WordCounts(head, value)
+        counter = WordCounts(head, value)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n, hit, base, tail = counter.of([lower_ascii(t.encode()) for t in texts])
-            ids = [np.frombuffer(x, "<u2") for x in tok.encode(texts)]
+            ids = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
             lm: list[float] = []
             start = 0
             while start < len(ids):  # so many documents at a time as make about 200,000 ids

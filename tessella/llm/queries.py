@@ -15,7 +15,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = _docs(spark, sf_dir), Scratch(spark)
-    return lm_score.score_documents(docs, lm_score.fit(docs, scratch), scratch)
+    rows = lm_score.encode_documents(docs, scratch)
+    return lm_score.score_documents(docs, lm_score.fit(docs, scratch, rows=rows), scratch, rows=rows)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

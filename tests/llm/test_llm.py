@@ -553,3 +553,37 @@ def test_language_tables_take_small_symbols():
     narrow = p.phrases(texts)
     p.own = [x.astype(np.int32) for x in p.own]
     assert np.array_equal(narrow, p.phrases(texts))
+
+
+def test_lm_gradients_are_slopes_of_the_loss():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, lm_score.VOCABULARY).astype(float)
+    ids = [rng.integers(0, 300, n).astype(np.uint16) for n in (0, 5, 30, 70)]
+    m = lm_score.train(ids, counts, rng.random(lm_score.VOCABULARY) < 0.5, steps=20)
+    x, t, _, share = lm_score._windows(m, ids)
+    got, n = lm_score.gradients(m, x, t.ravel()), (t >= 0).sum()
+    loss = lambda: -(lm_score.score(m, ids) - share).sum() * np.log(10) / n
+    for k in m.p:
+        was, step = m.p[k], np.float32(0.01) * got[k] / np.sqrt((got[k] ** 2).sum())
+        m.p[k] = was + step
+        up = loss()
+        m.p[k] = was - step
+        down = loss()
+        m.p[k] = was
+        assert np.isclose((up - down) / 0.02, np.sqrt((got[k] ** 2).sum()), rtol=0.05, atol=2e-4), k
+
+
+def test_lm_encodes_each_text_once(spark, monkeypatch):
+    """Counting, learning and scoring work from the written ids alone: no worker encodes then."""
+    data = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "red fox"), (3, "again")]
+    df, scratch = spark.createDataFrame(data, "doc_id long, text string").repartition(3), Scratch(spark)
+    monkeypatch.setattr(lm_score, "STEPS", 5)
+    rows = lm_score.encode_documents(df, scratch)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {(i, t): tok.encode(t or "", add_special_tokens=False).ids for i, t in data}
+    assert {(r.doc_id, r.text): np.frombuffer(r.ids, "<u2").tolist() for r in rows.collect()} == want
+    n = Counter(k for (i, _), ids in want.items() if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for k in ids)
+    assert {k: v for k, v in enumerate(lm_score.count_ids(rows, 7, 2).tolist()) if v} == n
+    monkeypatch.setattr(lm_score, "encode_documents", None)
+    got = lm_score.score_documents(df, trained := lm_score.fit(df, scratch, rows=rows), scratch, rows=rows).collect()
+    assert sorted((round(r.score, 2) for r in got)) == sorted(round(float(lm_score.score(trained.model, [np.array(x, np.uint16)])[0]), 2) for x in want.values())
