@@ -1,5 +1,8 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
+Learning from all documents and scoring run in the executors' JVM where its vectors and a
+compiler on the driver are there (lm_kernel), else in numpy workers, with results equal up to rounding.
+
 The model reads the ids of the word vocabulary (one start, the text's ids, one end). One
 attention head looks at the last SPAN ids; a hidden layer then gives the next id's class,
 and the class gives the id by its share of the class in the training corpus. Windows
@@ -31,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import Scratch, id_remainder, id_remainder_col, lean, lower_ascii, one_blas_thread, pick, prepare, tokenizer_path
+from . import bpe, lm_kernel
+from .common import Scratch, id_remainder_col, lean, lower_ascii, one_blas_thread, pick, prepare, tokenizer_path
 
 TOKENIZER, VOCABULARY, END_ID = "word_bpe_49k.json", 49408, 49407
 HEAD, SAMPLE_DOCS, SAMPLE_CHARS = 300_000, 800, 20_000
@@ -43,6 +46,8 @@ GROUPS, BINS = 32, 32
 STEPS, WINDOWS = 1500, 192
 #: Rounds over the corpus after that, as (share of the training documents, rate). The first steps of a task take WINDOWS windows, later ones up to so many times as many.
 ROUNDS, LARGEST = ((1.0, 0.003),), 5
+#: A task shuffles so many windows, and what makes that number full, before it learns from them.
+HELD = 20_000
 #: Scores and logits stay within it.
 LIMIT = np.float32(30)
 
@@ -385,6 +390,11 @@ def refine(rows: DataFrame, model: Model, scratch: Scratch, mod: int, left_out:
     rows = rows.select("doc_id", "ids").where(id_remainder_col(F.col("doc_id"), mod) != left_out)
     if share < 1:
         rows = rows.where(F.xxhash64("doc_id", F.lit(salt)).cast("double") / F.lit(2.0**64) + 0.5 < share)
+    schema = "w binary, n long"
+    if lm_kernel.available(rows.sparkSession, (WIDTH, HIDDEN, GROUPS), SPAN, STRIDE):
+        weights = lm_kernel.run(rows.select("ids"), "Learn", lm_kernel.blob(model, SPAN, STRIDE, END_ID), schema, WINDOWS, LARGEST, HELD, rate, salt)
+        got = average(scratch.table(weights, "lm-weights"), scratch)
+        return model if got is None else replace(model, p=_unblob(got, model.p))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -409,14 +419,14 @@ def refine(rows: DataFrame, model: Model, scratch: Scratch, mod: int, left_out:
             for x in b.column("ids").to_pylist():
                 held.append(_windows(mine, [np.frombuffer(x, "<u2")])[:2])
                 waiting += len(held[-1][0])
-                if waiting > 20_000:
+                if waiting > HELD:
                     learn()
         if held:
             learn()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([_blob(mine.p)], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
-    got = average(scratch.table(rows.mapInArrow(lean(run), "w binary, n long"), "lm-weights"), scratch)
+    got = average(scratch.table(rows.mapInArrow(lean(run), schema), "lm-weights"), scratch)
     return model if got is None else replace(model, p=_unblob(got, model.p))
 
 
@@ -515,13 +525,9 @@ def fit(docs: DataFrame, scratch: Scratch, mod: int = 7, left_out: int = 2, head
     return Trained(model, int(total.n or 0), int(total.v), top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(least), words)
 
 
-def score_documents(docs: DataFrame, trained: Trained, scratch: Scratch, mod: int = 7, left_out: int = 2, rows: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; rows as in fit()."""
-    spark = prepare(docs.sparkSession)
-    rows = encode_documents(docs, scratch) if rows is None else rows
-    shared = spark.sparkContext.broadcast((trained.model, trained.head, np.log10(trained.head_n + 1.0)))
-    smooth = float(np.log10(trained.tokens + trained.distinct + 1))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+def _score_in_python(rows: DataFrame, model: Model, head: np.ndarray, value: np.ndarray, schema: str) -> DataFrame:
+    """What LmKernel's Score does, with numpy."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, head, value))
 
     def run(batches):
         model, head, value = shared.value
@@ -539,11 +545,25 @@ def score_documents(docs: DataFrame, trained: Trained, scratch: Scratch, mod: in
                     stop += 1
                 lm += score(model, ids[start:stop]).tolist()
                 start = stop
-            keys = b.column("doc_id").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(keys, pa.int64()), pa.array([id_remainder(k, mod) == left_out for k in keys], pa.bool_()), pa.array(n), pa.array(hit), pa.array(base), pa.array(lm, pa.float64()), tail], names=["row", "doc_id", "held_out", "n_tokens", "hit", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n), pa.array(hit), pa.array(base), pa.array(lm, pa.float64()), tail], names=["row", "doc_id", "n_tokens", "hit", "base", "score", "tail"])
+
+    return rows.mapInArrow(lean(run), schema)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, hit long, base double, score double, tail array<struct<h:bigint,k:int>>"
-    got = scratch.table(rows.mapInArrow(lean(run), schema), "lm-docs")
+
+def score_documents(docs: DataFrame, trained: Trained, scratch: Scratch, mod: int = 7, left_out: int = 2, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; rows as in fit()."""
+    spark = prepare(docs.sparkSession)
+    rows = encode_documents(docs, scratch) if rows is None else rows
+    smooth = float(np.log10(trained.tokens + trained.distinct + 1))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    schema = "row long, doc_id long, n_tokens long, hit long, base double, score double, tail array<struct<h:bigint,k:int>>"
+    value = np.log10(trained.head_n + 1.0)
+    if lm_kernel.available(spark, (WIDTH, HIDDEN, GROUPS), SPAN, STRIDE):
+        sent = lm_kernel.blob(trained.model, SPAN, STRIDE, END_ID) + lm_kernel.head_blob(trained.head, value)
+        got = lm_kernel.run(rows.select("row", "doc_id", F.col("text").cast("binary"), "ids"), "Score", sent, schema)
+    else:
+        got = _score_in_python(rows, trained.model, trained.head, value, schema)
+    got = scratch.table(got.withColumn("held_out", F.coalesce(id_remainder_col(F.col("doc_id"), mod) == left_out, F.lit(False))), "lm-docs")
     rare = got.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.k")
     joined = rare.join(trained.words.where(F.col("n") < trained.least).select("h", "n"), "h")
     # What isn't in the corpus adds log10(0 + 1) = 0, so an inner join is enough.

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, bpe_reuse, jaccard_join, language_id, license_scan, lm_score, nearest, packing, pii, quality_rules, token_file
+from tessella.llm import bpe, bpe_reuse, jaccard_join, language_id, license_scan, lm_kernel, lm_score, nearest, packing, pii, quality_rules, token_file
 from tessella.llm.common import Scratch
 
 BASE = "the cat sat on the mat and looked at the small grey mouse that ran over the old wooden floor of the quiet house today"
@@ -587,3 +587,34 @@ def test_lm_encodes_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "encode_documents", None)
     got = lm_score.score_documents(df, trained := lm_score.fit(df, scratch, rows=rows), scratch, rows=rows).collect()
     assert sorted((round(r.score, 2) for r in got)) == sorted(round(float(lm_score.score(trained.model, [np.array(x, np.uint16)])[0]), 2) for x in want.values())
+
+
+def test_lm_kernel_scores_and_learns_as_numpy_does(spark):
+    """Scores, word counts and three steps over the same windows, in the executors' JVM and in numpy."""
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 50, lm_score.VOCABULARY).astype(float)
+    ids = [rng.integers(0, 3000, n).astype(np.uint16) for n in (0, 1, 11, 12, 13, 700, 4000)]
+    m = lm_score.train(ids, counts, rng.random(lm_score.VOCABULARY) < 0.5, steps=60)
+    assert lm_kernel.available(spark, (lm_score.WIDTH, lm_score.HIDDEN, lm_score.GROUPS), lm_score.SPAN, lm_score.STRIDE)
+    sent = lm_kernel.blob(m, lm_score.SPAN, lm_score.STRIDE, lm_score.END_ID)
+    texts = [None, "", " \t", "Red red RED fox\x1cfox \x0b fox", "É é Fox " * 40, "x" * 100, "fox"]
+    words = sorted((lm_score.word_hash(w), float(k)) for k, w in enumerate([b"", b"red", b"x" * 100]))
+    head, value = np.array([h for h, _ in words]), np.array([v for _, v in words])
+    rows = spark.createDataFrame([(k, None if k == 1 else k, t, x.tobytes()) for k, (t, x) in enumerate(zip(texts, ids))], "row long, doc_id long, text string, ids binary").repartition(2)
+    schema = "row long, doc_id long, n_tokens long, hit long, base double, score double, tail array<struct<h:bigint,k:int>>"
+    for h, v in ((head, value), (head[:0], value[:0])):
+        got = lm_kernel.run(rows.select("row", "doc_id", F.col("text").cast("binary"), "ids"), "Score", sent + lm_kernel.head_blob(h, v), schema).orderBy("row").collect()
+        n, hit, base, tail = lm_score.WordCounts(h, v).of([lower(t or "").encode() for t in texts])
+        assert [(r.doc_id, r.n_tokens, r.hit, r.base, [(x.h, x.k) for x in r.tail]) for r in got] == [(None if k == 1 else k, *x[:3], [(y["h"], y["k"]) for y in x[3]]) for k, x in enumerate(zip(n.tolist(), hit.tolist(), base.tolist(), tail.to_pylist()))]
+        assert np.allclose([r.score for r in got], lm_score.score(m, ids), rtol=1e-5)
+    x, t, _, _ = lm_score._windows(m, ids)
+    one = spark.createDataFrame([(v.tobytes(),) for v in ids * 3], "ids binary").coalesce(1)
+    (got,) = lm_kernel.run(one, "Learn", sent, "w binary, n long", len(x), 1, len(x) - 1, 0.01, 1).collect()
+    adam = lm_score.Adam(lm_score.replace(m))
+    for k in range(3):
+        adam.go(x, t, 0.01 * min(1.0, (k + 1) / 20))
+    want, have = adam.model.p, lm_score._unblob(bytes(got.w), m.p)
+    assert got.n == 3 * len(x)
+    for k in m.p:
+        moved = np.abs(want[k] - m.p[k]).sum()
+        assert moved > 0 and np.abs(have[k] - want[k]).sum() < 0.01 * moved, k
