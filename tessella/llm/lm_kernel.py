@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import warnings
 import zipfile
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ def compiled(java_home: str, jars: str) -> bytes | None:
     with tempfile.TemporaryDirectory() as out:
         done = subprocess.run([javac, "--add-modules", "jdk.incubator.vector", "-nowarn", "-cp", jars, "-d", out, source], capture_output=True, check=False)
         if done.returncode:
+            warnings.warn(f"LmKernel.java doesn't compile, numpy does its work: {done.stderr.decode(errors='replace')[:2000]}", stacklevel=2)
             return None
         path = os.path.join(out, "kernel.jar")
         with zipfile.ZipFile(path, "w") as z:
@@ -87,13 +89,13 @@ def head_blob(hashes: np.ndarray, values: np.ndarray) -> bytes:
 
 
 def run(rows: DataFrame, name: str, sent: bytes, schema: str, *more) -> DataFrame:
-    """The rows that class `name` of the kernel makes of each partition; `sent` is broadcast."""
+    """The rows that class `name` of the kernel makes of each partition; `sent`, if any, is broadcast."""
     from pyspark.sql.types import _parse_datatype_string
 
     spark = rows.sparkSession
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     made = loader(spark).loadClass(f"tessella.LmKernel${name}").getConstructors()[0]
-    args = [sc._jsc.broadcast(bytearray(sent)), *more]
+    args = [sc._jsc.broadcast(bytearray(sent)), *more] if sent else more
     given = sc._gateway.new_array(jvm.java.lang.Object, len(args))
     for i, x in enumerate(args):
         given[i] = x

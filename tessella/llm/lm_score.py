@@ -84,7 +84,12 @@ def count_words(docs: DataFrame, mod: int, left_out: int) -> DataFrame:
                 yield out()
         yield out()
 
-    return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    schema = "word binary, n long"
+    if lm_kernel.available(docs.sparkSession, (WIDTH, HIDDEN, GROUPS), SPAN, STRIDE):
+        parts = lm_kernel.run(rows.select(F.col("text").cast("binary")), "Count", b"", schema)
+    else:
+        parts = rows.mapInArrow(run, schema)
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -618,3 +618,24 @@ def test_lm_kernel_scores_and_learns_as_numpy_does(spark):
     for k in m.p:
         moved = np.abs(want[k] - m.p[k]).sum()
         assert moved > 0 and np.abs(have[k] - want[k]).sum() < 0.01 * moved, k
+
+
+def test_lm_counts_words_in_parts(spark):
+    """Also words beyond the first table of the kernel, long ones, and the ends of null and empty texts."""
+    texts = [None, "", "  ", "Aa aA\x1c b\x0bb É", "x" * 70_000 + " x"] + [" ".join(f"w{k % 50_000}" for k in range(a, a + 30_000)) for a in range(0, 150_000, 30_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*lower(t or "").encode().split(), b""])
+    assert {bytes(r.word): r.n for r in lm_score.count_words(df, 7, 2).collect()} == want
+
+
+def test_lm_score_without_the_kernel(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 5)
+    monkeypatch.setattr(lm_score, "ROUNDS", ())
+    got = []
+    for have in (lm_kernel.available, lambda *_: False):
+        monkeypatch.setattr(lm_kernel, "available", have)
+        scratch = Scratch(spark)
+        rows = lm_score.score_documents(docs, lm_score.fit(docs, scratch, head=5), scratch).collect()
+        got.append(sorted((repr((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))), r.score) for r in rows))
+    assert [x for x, _ in got[0]] == [x for x, _ in got[1]]
+    assert np.allclose([y for _, y in got[0]], [y for _, y in got[1]], rtol=1e-5)
