@@ -35,30 +35,77 @@ under 3 percent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bitmap, join_hot, lean, lower_ascii, pick, positional, prepare
 from .components import connected
-from .license_scan import Hasher, grams_of
+from .license_scan import grams_of
 
 SHINGLE, PERCENT, ROUNDS = 5, 80, 2
 
 
-def shingles(words: list[bytes], hasher: Hasher, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(grams_of(hasher.words(words), min(size, len(words))))
+#: Texts are hashed together up to so many bytes, which the caches hold; words of over so many bytes are hashed one by one.
+BLOCK, WORD = 1 << 18, 32
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return lower_ascii((text or "").encode()).split()
+def word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that lie at starts to ends of x, which holds eight bytes more than the last word needs.
+
+    A word is read as integers of eight bytes. Each step is a bijection of them, so words of one length of at most eight bytes never collide.
+    """
+    n = ends - starts
+    load = np.ndarray((len(x) - 7,), "<u8", x, strides=(1,))
+    h = n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (load[starts] & _MASK[np.minimum(n, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    for k in range(8, WORD, 8):
+        at = np.flatnonzero(n > k)
+        if not len(at):
+            break
+        g = (h[at] ^ (load[starts[at] + k] & _MASK[np.minimum(n[at] - k, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+        h[at] = g ^ (g >> np.uint64(32))
+    for i in np.flatnonzero(n > WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(x[starts[i] : ends[i]])
+    return h
+
+
+def sets_of(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, in order; a null or wordless text has none."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    if not len(texts):
+        return
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1)
+        x = np.frombuffer(lower_ascii(data.slice(off[i], off[j] - off[i]).to_pybytes()) + b" " * 8, np.uint8)
+        cut = off[i : j + 1] - off[i]
+        word = ((x - np.uint8(9)) > 4) & (x != 32)
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        for edge, at in ((first, cut[:-1]), (last, cut[cut > 0] - 1)):  # words end with their text
+            edge[at] = word[at]
+        starts = np.flatnonzero(first)
+        h = word_hashes(x, starts, np.flatnonzero(last) + 1)
+        grams = grams_of(h, size)
+        bounds = np.searchsorted(starts, cut).tolist()
+        for p, q in zip(bounds, bounds[1:]):
+            s = np.sort(grams[p : q - size + 1] if q - p >= size else grams_of(h[p:q], q - p) if q > p else h[:0])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s if new.all() else s[new]
+        i = j
 
 
 def key_of(s: np.ndarray) -> int:
@@ -146,10 +193,9 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE) -> bytes:
     rows = rows.where(F.xxhash64(F.monotonically_increasing_id()).cast("double") / F.lit(2.0**64) + 0.5 < share)
 
     def run(batches):
-        hasher, seen = Hasher(), set()
+        seen = set()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                s = shingles(words_of(t), hasher, size)
+            for s in sets_of(b.column("text"), size):
                 if len(s) and (k := key_of(s)) not in seen:
                     seen.add(k)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
@@ -173,7 +219,7 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def emit(batches):
-        hasher, pe, seen, bits = Hasher(), PartEnum(percent), set(), np.frombuffer(common.value, np.uint8)
+        pe, seen, bits = PartEnum(percent), set(), np.frombuffer(common.value, np.uint8)
         for b in batches:
             sigs, keys, count = [], [], []
 
@@ -181,8 +227,7 @@ def signature_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), count))], names=["sig", "key"])
 
             held = 0
-            for t in b.column("text").to_pylist():
-                s = shingles(words_of(t), hasher, size)
+            for s in sets_of(b.column("text"), size):
                 if not len(s):
                     continue
                 k = key_of(s)
@@ -238,11 +283,10 @@ def members(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFram
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "key", BITS))
 
     def run(batches):
-        hasher, mask, seen = Hasher(), np.frombuffer(bits.value, np.uint8), set()
+        mask, seen = np.frombuffer(bits.value, np.uint8), set()
         for b in batches:
             n, keys, marks, got = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(words_of(t), hasher, size)
+            for s in sets_of(b.column("text"), size):
                 k = key_of(s)
                 h = k & (BITS - 1)
                 first = len(s) and (mask[h >> 3] >> (h & 7)) & 1 and k not in seen

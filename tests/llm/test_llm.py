@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe, bpe_reuse, jaccard_join, language_id, license_scan, lm_kernel, lm_score, nearest, packing, pii, quality_rules, token_file
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, lower_ascii
 
 BASE = "the cat sat on the mat and looked at the small grey mouse that ran over the old wooden floor of the quiet house today"
 TEXTS = [
@@ -349,6 +350,43 @@ def test_jaccard_join(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {r[2] for r in brute_components(data)}
 
 
+def shingle_set(t):
+    w = split(lower(t))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_sets_hold_each_text_s_own_shingles(monkeypatch):
+    odd = ["a\0 a\0\0 a b c", "a a a b c", "aaaaaaaa aaaaaaaaa aaaaaaaaaaaaaaaa aaaaaaaaaaaaaaaaa x", "z" * 32 + " " + "z" * 33 + " " + "z" * 34, "\x1c\x85 \u00a0 \u3000 \x08 \x0e", "end", "e nd", " lead", "trail\r\n", "b c d e f", None]
+    texts = [*TEXTS, *odd, "", "", *TEXTS, ""]
+    want = [shingle_set(t) for t in texts]
+    for block in (1, 40, 1 << 18):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        for kind in (pa.string(), pa.large_string()):
+            got = list(jaccard_join.sets_of(pa.array(["cut off", *texts, "too"], kind).slice(1, len(texts))))
+            assert [len(s) for s in got] == [len(s) for s in want]
+            for (a, x), (b, y) in itertools.combinations(zip(got, want), 2):
+                assert len(np.intersect1d(a, b)) == len(x & y)
+    assert list(jaccard_join.sets_of(pa.array([], pa.string()))) == [] == [s.size for s in jaccard_join.sets_of(pa.array([None, ""], pa.string())) if s.size]
+
+
+def test_sets_take_less_than_half_the_time_of_hashing_word_by_word():
+    rng = np.random.default_rng(3)
+    known = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 10))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(known, 400)) for _ in range(1000)]
+    hasher, column = license_scan.Hasher(), pa.array(texts)
+
+    def each():
+        return [np.unique(license_scan.grams_of(hasher.words(lower_ascii(t.encode()).split()), 5)) for t in texts]
+
+    def took(f):
+        began = time.process_time()
+        got = f()
+        return time.process_time() - began, [len(s) for s in got]
+
+    slow, fast = (min(took(f) for _ in range(3)) for f in (each, lambda: list(jaccard_join.sets_of(column))))
+    assert slow[1] == fast[1] and fast[0] < slow[0] / 2
+
+
 def test_similar_sets_share_a_signature_whatever_is_common():
     rng = np.random.default_rng(12)
     pe = jaccard_join.PartEnum()
